@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import docs_of
 
 #: Words that a worker remembers; then it starts afresh. Bounds memory, not results.
-REMEMBERED = 600_000
-#: Code points that are tokenised together.
-CHUNK = 1_000_000
+REMEMBERED = 300_000
+#: Code points that are tokenised together, and words that one recursive query contracts.
+CHUNK, AT_ONCE = 400_000, 8_000
 #: Words of more bytes contract all pairs of a rank at once where that can't change the result.
 LONG = 64
 
@@ -114,7 +114,7 @@ class Codec:
 
         self.ranks = read_ranks(content)
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '600MB'; SET temp_directory = ''; SET enable_progress_bar = false")
+        self.con.execute("SET threads = 1; SET memory_limit = '250MB'; SET temp_directory = ''; SET enable_progress_bar = false")
         merges, vocab = merge_table(self.ranks), pa.table({"id": list(self.ranks.values()), "hx": [t.hex() for t in self.ranks]})
         self.con.register("merges_", merges)
         self.con.register("vocab_", vocab)
@@ -133,6 +133,19 @@ class Codec:
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.many, self.more = np.zeros(0, np.int32), np.zeros(0, np.int64), ([], [])
+        self.hits = np.zeros(0, np.int64)
+
+    def shed(self) -> None:
+        """Forget words that were met once only."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) * 2 > len(self.hits):
+            return self.forget()
+        many = self.many[keep]
+        ids = self.flat[np.arange(many.sum()) + np.repeat(self.start[keep] - np.cumsum(many) + many, many)]
+        words = list(self.index)  # in the order in which they came
+        self.forget()
+        self.keep([words[i] for i in keep.tolist()], ids, many)
+        self.settle()
 
     def starts(self, code: np.ndarray, text_start: np.ndarray) -> np.ndarray:
         """Where words of public_tokenizers.PATTERN start in the code points of texts laid end to end.
@@ -193,13 +206,17 @@ class Codec:
             groups[0 if w in self.ranks else 1 + (len(w) > LONG)].append(w)
         known = np.array([self.ranks[w] for w in groups[0]], dtype=np.int64)
         self.keep(groups[0], known, np.ones(len(known), dtype=np.int64))
-        for i in range(0, len(groups[1]), 20_000):
-            part = groups[1][i : i + 20_000]
+        for i in range(0, len(groups[1]), AT_ONCE):
+            part = groups[1][i : i + AT_ONCE]
             self.keep(part, *self.contract(part))
         if groups[2]:
             self.keep(groups[2], *self.contract_long(groups[2]))
+        self.settle()
+
+    def settle(self) -> None:
         self.flat, self.many = np.concatenate([self.flat, *self.more[0]]), np.concatenate([self.many, *self.more[1]])
         self.start = np.cumsum(self.many) - self.many
+        self.hits = np.append(self.hits, np.zeros(len(self.many) - len(self.hits), dtype=np.int64))
         self.more = ([], [])
 
     def keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -241,12 +258,13 @@ class Codec:
         if not words:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         if len(self.index) > REMEMBERED:
-            self.forget()
+            self.shed()
         found = list(map(self.index.get, words))
         if None in found:
             self.add(list({w for w, i in zip(words, found, strict=True) if i is None}))
             found = list(map(self.index.__getitem__, words))
         w = np.array(found, dtype=np.int64)
+        self.hits += np.bincount(w, minlength=len(self.hits))
         many = self.many[w]
         end = np.cumsum(many)
         ids = self.flat[np.arange(end[-1]) + np.repeat(self.start[w] - end + many, many)]
@@ -293,17 +311,19 @@ def _vocabulary(spark: SparkSession, path: str, pattern: str | None):
         return spark.sparkContext.broadcast(f.read()), pattern or public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str = "ids", pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str = "ids", pattern: str | None = None, decoded: str | None = None) -> DataFrame:
     """df with a column of token ids, array<int>, of a text column; the driver reads the vocabulary at path.
 
+    With decoded, a binary column of that name has what the ids decode to, made in the same pass.
+
     A null text counts as empty and has no ids; an empty table gives an empty table; rows that are
     equal stay as many as they were. All columns of df are kept, one named like out is replaced.
     A text without end or a word of any length is encoded whole; only REMEMBERED bounds what a
     worker keeps between texts.
     """
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
-    rest = [c for c in df.columns if c != out]
-    work = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("text"))
+    rest = [c for c in df.columns if c not in (out, decoded)]
+    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern)
@@ -312,11 +332,14 @@ def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str =
             for a, b in _chunks([len(t) for t in texts], CHUNK):
                 ids, sizes = c.encode(texts[a:b])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["row", "ids"])
+                made = [batch.column("row").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+                if decoded:
+                    made.append(pa.array(c.decode(ids, sizes), pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, ["row", "ids", "decoded"][: len(made)])
 
     row = work.schema["row"].dataType.simpleString()
-    done = work.mapInArrow(run, f"row {row}, ids array<int>")
-    return done.select("row.*", F.col("ids").alias(out))
+    done = work.mapInArrow(run, f"row {row}, ids array<int>" + ", decoded binary" * bool(decoded))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("ids").alias(out), *[F.col("decoded").alias(decoded)] * bool(decoded))
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded", pattern: str | None = None) -> DataFrame:
@@ -326,7 +349,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded",
     """
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c != out]
-    work = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern)
@@ -340,7 +363,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded",
 
     row = work.schema["row"].dataType.simpleString()
     done = work.mapInArrow(run, f"row {row}, out binary")
-    return done.select("row.*", F.col("out").alias(out))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("out").alias(out))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,11 +371,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = docs_of(spark, sf_dir).select("doc_id", "text")
-    coded = encode(docs, path).select(
+    coded = encode(docs_of(spark, sf_dir).select("doc_id", "text"), path, decoded="decoded")
+    return coded.select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

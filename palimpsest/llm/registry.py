@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from palimpsest.llm.bpe import op1_bpe
+from palimpsest.llm.classifier import op7_quality_classifier
+from palimpsest.llm.quality_rules import op10_quality_rules
+from palimpsest.llm.secret_scan import op8_secret_scan
 
-QUERIES = {"op1_bpe": op1_bpe}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLES: dict[str, str] = {}
