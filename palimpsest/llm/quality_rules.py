@@ -22,25 +22,31 @@ ACCURACY = (0.55, 0.995)
 ROUNDS = 200
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _against(bad: Column) -> Column:
+    """A rule that a text can fail; not to fail it is no evidence, so it abstains."""
+    return F.when(bad, -1).otherwise(0)
+
+
+def _for(good: Column) -> Column:
+    return F.when(good, 1).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
     """The votes, over the columns of text_stats(). Ratios are compared as products, so no text divides by zero."""
     c = F.col
     letters = c("n_upper") + c("n_lower")
-    other = c("n_symbols") + c("n_digits") + c("n_excl")
+    even = (c("n_symbols") * 50 <= c("n_words")) & (c("n_upper") * 4 <= letters) & (c("n_excl") * 25 <= c("n_words"))
     return {
-        "length": _vote(c("n_words") >= 20, c("n_words") < 10),
-        "symbols": _vote(c("n_symbols") * 20 <= c("n_words"), c("n_symbols") * 10 > c("n_words")),
-        "marked_words": _vote(c("n_symbol_words") * 20 <= c("n_words"), c("n_symbol_words") * 5 > c("n_words")),
-        "repetition": _vote(c("n_repeat_words") * 20 <= c("n_words"), c("n_repeat_words") * 5 > c("n_words")),
-        "same_lines": _vote((c("n_lines") > 1) & (c("n_dup_lines") == 0), c("n_dup_lines") * 10 > c("n_lines") * 3),
-        "capitals": _vote(c("n_upper") * 5 <= letters, c("n_upper") * 2 > letters),
-        "exclaims": _vote(c("n_excl") * 20 <= c("n_words"), c("n_excl") * 5 > c("n_words")),
-        "word_length": _vote((c("word_chars") >= c("n_words") * 3) & (c("word_chars") <= c("n_words") * 9), (c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 14)),
-        "plain_text": _vote(other * 25 <= c("word_chars"), other * 7 > c("word_chars")),
+        "length": F.when(c("n_words") < 10, -1).when(c("n_words") >= 50, 1).otherwise(0),
+        "symbols": _against(c("n_symbols") * 10 > c("n_words")),
+        "marked_words": _against(c("n_symbol_words") * 5 > c("n_words")),
+        "repetition": _against(c("n_repeat_words") * 5 > c("n_words")),
+        "same_lines": _against(c("n_dup_lines") * 10 > c("n_lines") * 3),
+        "capitals": _against(c("n_upper") * 2 > letters),
+        "exclaims": _against(c("n_excl") * 5 > c("n_words")),
+        "word_length": _against((c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 14)),
+        "prose": _for((c("n_ends") > 0) & (c("n_ends") * 2 <= c("n_words")) & even),
+        "varied": _for((c("n_unique_words") * 10 >= c("n_words") * 3) & (c("n_words") >= 20)),
     }
 
 

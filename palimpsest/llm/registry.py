@@ -6,9 +6,11 @@ from palimpsest.llm.bpe import op1_bpe
 from palimpsest.llm.classifier import op7_quality_classifier
 from palimpsest.llm.quality_rules import op10_quality_rules
 from palimpsest.llm.secret_scan import op8_secret_scan
+from palimpsest.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_simhash": op5_simhash,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
