@@ -1,9 +1,9 @@
 """Quality rules by weak supervision.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). Expectation-maximisation over the
-histogram of vote patterns, which covers all texts and has at most 3 ** len(RULES) rows whatever
-the size of the corpus, estimates the share of good texts and each rule's accuracy. The posterior
-probability that a text is good is then a Spark expression over its votes.
+histogram of vote patterns, which covers all texts and has at most 3 ** rules rows whatever the
+size of the corpus, estimates the share of good texts and how each rule votes on good and on bad
+ones. The posterior probability that a text is good is then a Spark expression over its votes.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import docs_of, materialize
 from palimpsest.llm.stats import text_stats
 
-#: A rule's accuracy stays within these, so that a rule is never taken to mean its opposite.
-ACCURACY = (0.55, 0.995)
-ROUNDS = 200
+#: Rounds at most; and the votes of each kind that a rule is given before any are counted, in either class.
+ROUNDS, SMOOTHING = 200, 0.5
 
 
 def _against(bad: Column) -> Column:
@@ -46,44 +45,52 @@ def rules() -> dict[str, Column]:
         "exclaims": _against(c("n_excl") * 5 > c("n_words")),
         "word_length": _against((c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 14)),
         "prose": _for((c("n_ends") > 0) & (c("n_ends") * 2 <= c("n_words")) & even),
-        "varied": _for((c("n_unique_words") * 10 >= c("n_words") * 3) & (c("n_words") >= 20)),
+        "varied": _for((c("n_words") > 0) & (c("n_unique_words") * 10 >= c("n_words") * 3)),
     }
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: the share of good texts; accuracy: of each rule where it votes."""
+    """prior: the share of good texts; evidence: what a rule's votes -1, 0 and 1 add to the log odds; accuracy: how often a vote cast is right."""
 
     prior: float
+    evidence: dict[str, tuple[float, float, float]]
     accuracy: dict[str, float]
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         """The probability that a text with these votes is good."""
-        odds = sum((votes[k].cast("double") * float(np.log(a / (1 - a))) for k, a in self.accuracy.items()), F.lit(float(np.log(self.prior / (1 - self.prior)))))
+        odds = F.lit(float(np.log(self.prior / (1 - self.prior))))
+        for k, (against, none, favour) in self.evidence.items():
+            odds = odds + F.when(votes[k] < 0, against).when(votes[k] > 0, favour).otherwise(none)
         return 1.0 / (1.0 + F.exp(-odds))
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, names: list[str]) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns with their counts; no texts give even odds.
 
-    Starts from the majority of votes. Sums run over sorted patterns, so equal histograms give equal models.
+    It starts from the belief that a text is bad if any rule votes against it, which also fixes which
+    class is the good one. Sums run over sorted patterns, so equal histograms give equal models.
     """
     if not len(patterns):
-        return LabelModel(0.5, dict.fromkeys(names, 0.75))
+        return LabelModel(0.5, dict.fromkeys(names, (0.0, 0.0, 0.0)), dict.fromkeys(names, 0.5))
     order = np.lexsort(patterns.T)
-    votes, weight = patterns[order].astype(float), counts[order].astype(float)
-    cast = votes != 0
-    good = 1 / (1 + np.exp(-votes.sum(axis=1)))
+    votes, weight = patterns[order], counts[order].astype(float)
+    cast = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
+    good = np.where((votes < 0).any(axis=1), 0.1, 0.9)
     for _ in range(ROUNDS):
-        prior = np.clip((weight @ good + 1) / (weight.sum() + 2), 0.02, 0.98)
-        right = np.where(votes > 0, good[:, None], np.where(votes < 0, 1 - good[:, None], 0))
-        accuracy = np.clip((weight @ right + 1) / (weight @ cast + 2), *ACCURACY)
-        odds = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-        now = 1 / (1 + np.exp(-odds))
+        prior = (weight @ good + 1) / (weight.sum() + 2)
+        shares = []
+        for of in (good, 1 - good):
+            many = np.einsum("p,prv->rv", weight * of, cast) + SMOOTHING
+            shares.append(many / many.sum(axis=1, keepdims=True))
+        evidence = np.log(shares[0] / shares[1])
+        now = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.einsum("prv,rv->p", cast, evidence))))
         if np.abs(now - good).max() < 1e-9:
             break
         good = now
-    return LabelModel(float(prior), dict(zip(names, map(float, accuracy), strict=True)))
+    right = weight * good @ (votes > 0) + weight * (1 - good) @ (votes < 0)
+    accuracy = (right + SMOOTHING) / (weight @ (votes != 0) + 2 * SMOOTHING)
+    return LabelModel(float(prior), {k: tuple(map(float, e)) for k, e in zip(names, evidence, strict=True)}, dict(zip(names, map(float, accuracy), strict=True)))
 
 
 def quality_by_rules(df: DataFrame, *, text: str = "text", keep_at: float = 0.5) -> tuple[DataFrame, LabelModel]:
