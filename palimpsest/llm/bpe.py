@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -109,16 +110,9 @@ class Codec:
     """A vocabulary in a Python worker: its DuckDB tables, character classes and the words encoded so far."""
 
     def __init__(self, content: bytes, pattern: str) -> None:
-        import duckdb
         import tiktoken
 
         self.ranks = read_ranks(content)
-        self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '250MB'; SET temp_directory = ''; SET enable_progress_bar = false")
-        merges, vocab = merge_table(self.ranks), pa.table({"id": list(self.ranks.values()), "hx": [t.hex() for t in self.ranks]})
-        self.con.register("merges_", merges)
-        self.con.register("vocab_", vocab)
-        self.con.execute("CREATE TABLE merges AS FROM merges_; CREATE TABLE vocab AS FROM vocab_")
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         # The classes of characters come from the library's own regular expressions.
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -130,6 +124,24 @@ class Codec:
         self.pattern = pattern
         self.forget()
 
+    @cached_property
+    def con(self):
+        import duckdb
+
+        con = duckdb.connect()
+        con.execute("SET threads = 1; SET memory_limit = '250MB'; SET temp_directory = ''; SET enable_progress_bar = false")
+        merges, vocab = merge_table(self.ranks), pa.table({"id": list(self.ranks.values()), "hx": [t.hex() for t in self.ranks]})
+        con.register("merges_", merges)
+        con.register("vocab_", vocab)
+        con.execute("CREATE TABLE merges AS FROM merges_; CREATE TABLE vocab AS FROM vocab_")
+        return con
+
+    @cached_property
+    def library(self):
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.many, self.more = np.zeros(0, np.int32), np.zeros(0, np.int64), ([], [])
@@ -281,15 +293,26 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+class LibraryCodec(Codec):
+    """As Codec, but the tokenizer's library contracts new words; for operators that only need the ids."""
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(self.library._encode_single_piece, words))
+        sizes = np.array(list(map(len, ids)), dtype=np.int64)
+        return np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(sizes.sum())), sizes
+
+    contract_long = contract
+
+
+_codecs: dict[tuple[type, bytes, str], Codec] = {}
 
 
-def codec(content: bytes, pattern: str) -> Codec:
+def codec(content: bytes, pattern: str, kind: type[Codec] = Codec) -> Codec:
     """This worker's Codec of a vocabulary."""
-    key = (content, pattern)
+    key = (kind, content, pattern)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(content, pattern)
+        _codecs[key] = kind(content, pattern)
     return _codecs[key]
 
 
