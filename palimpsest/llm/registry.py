@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palimpsest.llm.bpe import op1_bpe
 from palimpsest.llm.classifier import op7_quality_classifier
+from palimpsest.llm.fingerprint import op3_fingerprint
 from palimpsest.llm.line_dedup import op9_line_dedup
 from palimpsest.llm.packing import op6_packing
 from palimpsest.llm.quality_rules import op10_quality_rules
@@ -14,6 +15,7 @@ from palimpsest.llm.training_order import op2_training_order
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_training_order": op2_training_order,
+    "op3_fingerprint": op3_fingerprint,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
