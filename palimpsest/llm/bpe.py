@@ -362,7 +362,7 @@ def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str =
 
     row = work.schema["row"].dataType.simpleString()
     done = work.mapInArrow(run, f"row {row}, ids array<int>" + ", decoded binary" * bool(decoded))
-    return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("ids").alias(out), *[F.col("decoded").alias(decoded)] * bool(decoded))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded", pattern: str | None = None) -> DataFrame:

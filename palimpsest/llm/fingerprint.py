@@ -27,14 +27,14 @@ def with_sketch(df: DataFrame, text: str, out: str, *, words: int = WORDS, part:
     among them) have an empty sketch. Other columns stay, one named out is replaced.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c != out]
-    least = -(2**63) + 2**64 // part
+    most = -(2**63) + 2**64 // part - 1
     hashed = df.select(*rest, F.expr(f"transform(filter(split(coalesce(`{text}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), w -> xxhash64(w))").alias("_h"))
     # _h is used more than once, so Catalyst doesn't move its making into the lambda.
     shingled = hashed.select(
         *rest,
         F.expr(f"CASE WHEN size(_h) >= {words} THEN transform(sequence(1, size(_h) - {words - 1}), i -> xxhash64(slice(_h, i, {words}))) WHEN size(_h) > 0 THEN array(xxhash64(_h)) ELSE array() END").alias("_s"),
     )
-    kept = shingled.select(*rest, F.array_min("_s").alias("_m"), F.expr(f"sort_array(array_distinct(filter(_s, x -> x < {least}L)))").alias("_k"))
+    kept = shingled.select(*rest, F.array_min("_s").alias("_m"), F.expr(f"sort_array(array_distinct(filter(_s, x -> x <= {most}L)))").alias("_k"))
     return kept.select(*rest, F.when((F.size("_k") == 0) & F.col("_m").isNotNull(), F.array("_m")).otherwise(F.col("_k")).alias(out))
 
 

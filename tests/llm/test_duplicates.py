@@ -1,0 +1,251 @@
+"""Fingerprints, near copies, repeated lines and bytes, packing and shards against brute force."""
+
+import collections
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from palimpsest.llm import fingerprint, graph, line_dedup, packing, simhash, suffix_dedup, training_order
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def docs(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids or range(len(texts)), texts, strict=True)], "doc_id long, text string, h string, fp int")
+
+
+def plain_fingerprint(text, n):
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()]
+    grams = [words] if 0 < len(words) <= n else [words[i : i + n] for i in range(len(words) - n + 1)]
+    h = [xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_simhash_fingerprints(spark):
+    rng = random.Random(0)
+    texts = [None, "", " \n", "One", "A b c d", "É É é A"] + [" ".join(rng.choice(["a", "B", "ç", "dd"]) for _ in range(rng.randint(0, 40))) for _ in range(100)]
+    for r in simhash.fingerprints(docs(spark, texts).withColumn("t", F.col("text"))).collect():
+        assert r.fp % 2**64 == plain_fingerprint(r.t, 4)
+
+
+def near(values, distance):
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in itertools.combinations(values, 2):
+        if bin((a ^ b) % 2**64).count("1") <= distance:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {v: root(v) for v in values}
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4])
+def test_simhash_links(spark, distance):
+    rng = random.Random(distance)
+    values = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(25):
+            x = base
+            for b in rng.sample(range(64), rng.randint(0, 6)):
+                x ^= 1 << b
+            values.add(x - 2**64 if x >= 2**63 else x)
+    want = near(sorted(values), distance)
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    for bucket in (1000, 1):  # 1 sends crowded keys through the points between
+        got = {r.node: r.root for r in graph.components(simhash.links(prints, distance, bucket)).collect()}
+        assert got == {v: r for v, r in want.items() if list(want.values()).count(r) > 1}
+
+
+def test_near_dedup_keeps_one_of_each(spark):
+    rng = random.Random(9)
+    text = " ".join(rng.choice("abcdefgh") * 3 for _ in range(400))
+    other = " ".join(rng.choice("ijklmnop") * 3 for _ in range(400))
+    texts, ids = [text, text, other, None, "", text, text], [5, 3, 7, 8, 9, 3, None]
+    kept = simhash.near_dedup(docs(spark, texts, ids)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, text), (7, other), (8, None)]
+    assert simhash.near_dedup(docs(spark, texts).limit(0)).count() == 0
+
+
+def plain_lines(rows, words):
+    """rows in order; a line goes if it lies in a run of so many words that equals an earlier one."""
+    first, out = {}, []
+    for mark in (False, True):
+        for d, (_, text) in enumerate(rows):
+            lines = (text or "").split("\n")
+            gone = set()
+            for a in range(len(lines)):
+                for b in range(a + 1, len(lines) + 1):
+                    run = tuple(lines[a:b])
+                    if sum(len(x.encode().split()) for x in run) >= words:
+                        if not mark:
+                            first.setdefault(run, (d, a))
+                        elif first[run] < (d, a):
+                            gone |= set(range(a, b))
+            if mark:
+                out.append(None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_dedup(spark):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 5))) for _ in range(7)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "a b c d e f g h i"]
+    want = plain_lines(list(enumerate(texts)), 8)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, texts), words=8).collect()}
+    assert [got[i].text for i in range(len(texts))] == want
+    assert sum(r.n_removed for r in got.values()) > 0
+    twice = line_dedup.line_dedup(docs(spark, ["x " * 60] * 2, [1, 1])).collect()
+    assert [r.n_removed for r in twice] == [0, 0]  # one document
+    assert [r.n_removed for r in line_dedup.line_dedup(docs(spark, ["x " * 60] * 2, [1, None])).orderBy(F.col("doc_id").desc_nulls_last()).collect()] == [0, 1]
+    assert line_dedup.line_dedup(docs(spark, texts).limit(0)).count() == 0
+
+
+def plain_bytes(texts, span):
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[s : s + span] for r in raws for s in range(len(r) - span + 1))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r), dtype=bool)
+        for s in range(len(r) - span + 1):
+            if seen[r[s : s + span]] > 1:
+                gone[s : s + span] = True
+        out.append((bytes(b for b, g in zip(r, gone, strict=True) if not g), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize("crowd,shard", [(4096, 7), (0, 512)])
+def test_suffix_dedup(spark, monkeypatch, crowd, shard):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    rng = random.Random(crowd)
+    some = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    base = [some(rng.randint(60, 300)) for _ in range(5)]
+    texts = [None, "", "a" * 200, "ab" * 90, "x" * 39, "x" * 41] + [base[0]] * 2
+    for _ in range(70):
+        t = rng.choice(base)
+        p, a = rng.randrange(len(t)), rng.randint(0, 60)
+        t = t[:p] + some(rng.randint(0, 2)) + t[p + rng.randint(0, 2) :]
+        texts.append(some(rng.randint(0, 20)) + t[a : a + rng.randint(0, 200)] + some(rng.randint(0, 20)))
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts), span=40, window=16).collect()}
+    assert [(bytes(got[i].kept), len(got[i].removed)) for i in range(len(texts))] == plain_bytes(texts, 40)
+    assert suffix_dedup.suffix_dedup(docs(spark, texts).limit(0), span=40, window=16).count() == 0
+
+
+def test_merge_is_the_order_of_all_suffixes():
+    rng = random.Random(8)
+    strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 12))]) for _ in range(40)]
+    shards = [suffix_dedup.Shard(strings[i : i + 6], i) for i in range(0, 40, 6)]
+    for depth in (1, 4, 20):
+        string, offset, interval = suffix_dedup.merge(shards, depth)
+        heads = [tuple([*strings[s][o:], 0][:depth]) for s, o in zip(string, offset, strict=True)]
+        assert heads == sorted(heads) and len(set(zip(string, offset, strict=True))) == sum(len(s) + 1 for s in strings)
+        assert [len(set(h)) for h in ([x for x, i in zip(heads, interval, strict=True) if i == k] for k in range(interval[-1] + 1))] == [1] * (interval[-1] + 1)
+
+
+
+
+def test_fingerprint_and_next(spark):
+    rng = random.Random(6)
+    texts = [None, "", "one", "a b c d", "é " * 50] + [" ".join(rng.choice(["x", "yy", "z", "é"]) + str(rng.randint(0, 50)) for _ in range(rng.randint(0, 200))) for _ in range(45)]
+    ids = rng.sample(range(1000), len(texts))
+    led = fingerprint.with_next(docs(spark, texts, ids).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
+    order = sorted(zip(ids, texts, strict=True), reverse=True)
+    want = {i: order[(k + 1) % len(order)][1] or "" for k, (i, _) in enumerate(order)}
+    assert {r.doc_id: r.next.text for r in led} == want
+    whole = fingerprint.with_sketch(docs(spark, texts, ids), "text", "k", part=1).collect()
+    for r in whole:
+        words = (r.text or "").split()
+        assert len(r.k) == (len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else 0)
+    pairs = spark.createDataFrame([("a b c d e f g h", "c d e f g h i j k l"), ("", ""), ("", "x")], "a string, b string")
+    both = fingerprint.with_sketch(fingerprint.with_sketch(pairs, "a", "ka", part=1), "b", "kb", part=1)
+    assert [round(r[0], 6) for r in both.select(fingerprint.likeness(F.col("ka"), F.col("kb"))).collect()] == [0.5, 1.0, 0.0]
+
+
+def test_next_of_odd_tables(spark):
+    one = lambda ids: sorted((r.doc_id or -1, r.next.text) for r in fingerprint.with_next(docs(spark, [f"t{i}" for i in range(len(ids))], ids).select("doc_id", "text"), ["text"]).collect())
+    assert one([7]) == [(7, "t0")]
+    assert one([1, 2]) == [(1, "t1"), (2, "t0")]
+    assert one([None, 3]) == [(-1, "t1"), (3, "t0")]
+    assert len(one([None, None, None])) == 3 and len(one([4, 4, 4, 4])) == 4
+    assert fingerprint.with_next(docs(spark, ["a"]).select("doc_id", "text").limit(0), ["text"]).count() == 0
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(3)
+    for _ in range(80):
+        lengths = rng.sample(range(1, 30), rng.randint(1, 8))
+        counts, k = [rng.randint(1, 9) for _ in lengths], rng.randint(1, 4)
+        waste = lambda bounds: sum(n * (min(b for b in bounds if b >= x) - x) for x, n in zip(lengths, counts, strict=True))
+        best = min(waste(c) for r in range(1, k + 1) for c in itertools.combinations(lengths, min(r, len(lengths))) if max(c) == max(lengths))
+        bounds, cost = packing.best_boundaries(np.array(lengths), np.array(counts), k)
+        assert cost == best == waste(bounds) and len(bounds) <= k
+    assert packing.best_boundaries(np.array([]), np.array([]), 3) == ([], 0)
+
+
+def test_packing(spark):
+    sizes = [None, 0, 1, 1, 5, 9, 10, 11, 29, 1000]
+    rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)] + [(1, 0)], "doc_id int, n_tokens long"), max_tokens=10, buckets=3, budget=25).collect()
+    assert sum(r.length for r in rows) == sum((n or 0) + 1 for n in sizes) + 1
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert 0 < r.length <= r.bucket <= 10 and r.start == r.piece * 10
+        by[r.bucket, r.batch].append(r.place)
+    for (bucket, _), places in by.items():
+        assert sorted(places) == list(range(len(places))) and len(places) * bucket <= 25
+    assert len({b for b, _ in by}) <= 3
+    assert packing.pack(spark.createDataFrame([], "doc_id int, n_tokens long")).count() == 0
+
+
+def test_permutation():
+    for n in (1, 2, 3, 5, 17, 1000, 4097):
+        assert sorted(training_order.permute(np.arange(n), n, 7).tolist()) == list(range(n))
+    assert training_order.permute(np.arange(99), 99, 1).tolist() != training_order.permute(np.arange(99), 99, 2).tolist()
+
+
+def test_shards(spark, tmp_path):
+    from palimpsest.llm.common import materialize
+
+    texts = [None, "", "word " * 900, "hello world"] + [f"text {i} é" for i in range(60)]
+    stored = materialize(training_order.sequences(docs(spark, texts), PATH, length=16), "t")
+    index = training_order.write_shards(training_order.with_slots(stored, seed=3, shard=10), str(tmp_path / "out"), shard=10).orderBy("slot").collect()
+    assert [r.slot for r in index] == list(range(stored.count())) and all(r.byte_offset == r.slot % 10 * 32 for r in index)
+    import tiktoken
+
+    from palimpsest.llm.bpe import read_ranks
+
+    with open(PATH, "rb") as f:
+        encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(f.read()), special_tokens={})
+    for r, got in zip(index[5:], training_order.read_shards(str(tmp_path / "out"), 5, len(index), length=16, shard=10), strict=True):
+        ids = [*encoder.encode_ordinary(texts[r.id] or ""), training_order.END][r.part * 16 :][:16]
+        assert got[: r.n_tokens].tolist() == ids and hashlib.sha256(got.tobytes()).hexdigest() == r.sha256
+
+
+def test_pipeline_stages(spark):
+    import os
+
+    import corpus_pipeline
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.exists(at):
+        pytest.skip("no test data")
+    names = corpus_pipeline.COLUMNS
+    now = spark.read.parquet(f"{at}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        done = corpus_pipeline.materialize(stage(spark, now, at), "stage")
+        if k < 4:
+            assert done.columns == names and done.count() <= now.count()
+            assert done.where("n_chars <> length(text)").count() == 0
+        else:
+            assert done.select("doc_id").distinct().count() == now.count()
+        now = done
