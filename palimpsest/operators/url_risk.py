@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed, text, urls
 
-CONFIDENCE = {"BRAND_ALIAS": "HIGH", "DOMAIN_HOMOGLYPH": "HIGH", "DOMAIN_TYPOSQUAT": "MEDIUM"}
+SIGNALS = ("BRAND_ALIAS", "DOMAIN_HOMOGLYPH", "DOMAIN_TYPOSQUAT")
 
 
-def _official(host: Column, domains: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for d in domains:
-        out |= (host == d) | host.endswith(f".{d}")
-    return out
+def _aliases() -> Column:
+    """Every brand's aliases as one constant array, in order of precedence."""
+    rows = [(i, j, brand, alias, domains) for i, (brand, aliases, domains) in enumerate(fixed.BRANDS) for j, alias in enumerate(aliases)]
+    return F.array(
+        *[
+            F.struct(F.lit(i).alias("brand_ord"), F.lit(j).alias("alias_ord"), F.lit(brand).alias("brand"), F.lit(alias).alias("alias"), F.lit(alias.isascii() and len(alias) >= 5).alias("fuzzy"), F.array(*map(F.lit, domains)).alias("domains"))
+            for i, j, brand, alias, domains in rows
+        ]
+    )
+
+
+def _rank(a: Column, s: Column) -> Column:
+    """0 for an alias itself, 1 for what looks like it, 2 for what is one edit away, else null."""
+    near = a["fuzzy"] & s["shape"].rlike(r"^[\x00-\x7F]*$")
+    return F.when(s["part"] == a["alias"], 0).when(near & (s["shape"] == a["alias"]), 1).when(near & (F.levenshtein(s["shape"], a["alias"]) == 1), 2)
 
 
 def url_risk(pages: DataFrame, *, url: str = "url") -> DataFrame:
@@ -33,19 +43,15 @@ def url_risk(pages: DataFrame, *, url: str = "url") -> DataFrame:
     parts = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "-"))), lambda x: x != "")
     cut = shown.select("*", F.array_distinct(F.concat(F.array(text.registrable(F.col("display_hostname"))), labels, parts)).alias("parts"))
     # The skeleton of each part: translation reaches into arrays, normalisation doesn't, so parts are joined for it.
-    whole = text.skeleton(F.array_join("parts", "\n"))
-    cut = cut.withColumn("shapes", F.arrays_zip(F.col("parts").alias("part"), F.split(whole, "\n").alias("shape")))
-    found = []
-    for brand, aliases, domains in fixed.BRANDS:
-        options = []
-        for alias in aliases:
-            options.append(F.when(F.array_contains("parts", alias), F.struct(F.lit("BRAND_ALIAS").alias("signal"), F.lit(alias).alias("matched_text"))))
-            if alias.isascii() and len(alias) >= 5:
-                fits = lambda s, a=alias: s["shape"].rlike(r"^[\x00-\x7F]*$") & ((s["shape"] == a) & (s["part"] != a) | (F.levenshtein(s["shape"], F.lit(a)) == 1))
-                ranked = F.transform(F.filter("shapes", fits), lambda s, a=alias: F.struct(F.when(s["shape"] == a, "DOMAIN_HOMOGLYPH").otherwise("DOMAIN_TYPOSQUAT").alias("signal"), s["part"].alias("matched_text")))
-                options.append(F.get(F.array_sort(ranked), F.lit(0)))
-        hit = F.when(~_official(F.col("hostname"), domains), F.coalesce(*options))
-        found.append(F.when(hit.isNotNull(), F.struct(F.lit(brand).alias("brand"), hit["signal"].alias("signal"), hit["matched_text"].alias("matched_text"), F.array(*map(F.lit, domains)).alias("official_domains"))))
-    confidence = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
-    hits = cut.withColumn("m", F.coalesce(*found)).where("m is not null")
-    return hits.select("url", "hostname", "display_hostname", "m.brand", "m.signal", "m.matched_text", "m.official_domains", confidence[F.col("m.signal")].alias("confidence"))
+    cut = cut.withColumn("shape", F.split(text.skeleton(F.array_join("parts", "\n")), "\n"))
+    shapes = cut.select("url", "hostname", "display_hostname", F.arrays_zip(F.col("parts").alias("part"), F.col("shape").alias("shape")).alias("shapes"))
+    host = F.col("hostname")
+    foreign = F.filter(_aliases(), lambda a: ~F.exists(a["domains"], lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d))))
+
+    def matches(a: Column) -> Column:
+        ranked = F.transform("shapes", lambda s: F.struct(a["brand_ord"].alias("brand_ord"), a["alias_ord"].alias("alias_ord"), _rank(a, s).alias("rank"), s["part"].alias("matched_text"), a["brand"].alias("brand"), a["domains"].alias("official_domains")))
+        return F.filter(ranked, lambda m: m["rank"].isNotNull())
+
+    best = shapes.select("url", "hostname", "display_hostname", F.array_min(F.flatten(F.transform(foreign, matches))).alias("m")).where("m is not null")
+    signal = F.get(F.array(*map(F.lit, SIGNALS)), F.col("m.rank"))
+    return best.select("url", "hostname", "display_hostname", "m.brand", signal.alias("signal"), "m.matched_text", "m.official_domains", F.when(F.col("m.rank") < 2, "HIGH").otherwise("MEDIUM").alias("confidence"))

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palimpsest.plans.queries import ORACLES, QUERIES, technique_counts
 
-from pyspark.sql import DataFrame, SparkSession
+#: The flagship: observations derived from documents, through all detectors, counted.
+FLAGSHIP = technique_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
