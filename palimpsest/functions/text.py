@@ -57,12 +57,12 @@ def fullwidth(text: Column) -> Column:
 def mixed_script(text: Column) -> Column:
     """Whether a word of Latin, Greek and Cyrillic letters has an ASCII letter and one that looks like one."""
     words = F.regexp_extract_all(text, F.lit("([A-Za-z\u0370-\u03ff\u0400-\u04ff]+)"), 1)
-    return F.exists(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
+    return text.rlike(f"[{_CONFUSABLE}]") & F.exists(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
 
 
 def mixed_word(text: Column) -> Column:
     """As mixed_script, for words of any characters that count as one."""
-    return F.exists(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), 1), lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
+    return text.rlike(f"[{_CONFUSABLE}]") & F.exists(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), 1), lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
 
 
 def invisible(text: Column) -> Column:
@@ -78,9 +78,12 @@ def source_sample(text: Column) -> Column:
 
 def inner_digit(text: Column) -> Column:
     """Whether a digit that looks like a letter stands between ASCII letters, outside of addresses and long machine tokens."""
-    bare = F.regexp_replace(nfkc(text), r"(?i)(?:https?://|www\.)(?U:\S)+", " ")
+    inner = "(?<=[A-Za-z])[0134578](?=[A-Za-z])"
+    whole = nfkc(F.when(text.rlike(r"\p{N}"), text))
+    bare = F.regexp_replace(whole, r"(?i)(?:https?://|www\.)(?U:\S)+", " ")
     bare = F.regexp_replace(bare, r"(?U)\b[A-Za-z0-9_-]{16,}\b", " ")
-    return bare.rlike("(?<=[A-Za-z])[0134578](?=[A-Za-z])") & ~source_sample(text)
+    # Most texts fail the first, cheap test.
+    return F.coalesce(whole.rlike(inner) & bare.rlike(inner) & ~source_sample(text), F.lit(False))
 
 
 def jamo_syllable(text: Column) -> Column:

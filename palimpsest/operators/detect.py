@@ -62,8 +62,7 @@ def jamo_reasons() -> Column:
 
 def homoglyph_reasons() -> Column:
     t = F.col("text")
-    # What needs normalising is asked last, and of texts with a digit only.
-    digit = t.rlike(r"(?U)\d") & text.inner_digit(t)
+    digit = text.inner_digit(t)
     return _codes((text.fullwidth(t), "FULLWIDTH"), (text.mixed_script(t), "MIXED"), (digit, "DIGIT"))
 
 
