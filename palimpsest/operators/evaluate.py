@@ -59,3 +59,43 @@ def candidate_workers(machines: DataFrame) -> DataFrame:
     few, some, many = (F.array(*map(F.lit, x)) for x in ((4,), (4, 6), (6, 8)))
     tried = F.when(cpus <= 4, few).when(F.coalesce(mb < 6144, F.lit(False)), few).when((cpus <= 8) | F.coalesce(mb < 12288, F.lit(False)), some).otherwise(many)
     return machines.withColumn("workers", tried)
+
+
+def stage_totals(timings: DataFrame, stages: list[str]) -> DataFrame:
+    """(stage, seconds): how long all pages took in each stage."""
+    sums = timings.agg(*[F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in stages])
+    return sums.select(F.explode(F.create_map(*[x for s in stages for x in (F.lit(s), F.col(s))])).alias("stage", "seconds"))
+
+
+def pass_stats(passes: DataFrame) -> DataFrame:
+    """(scan_pass, pages, seconds, mean_seconds, observations) of pages' passes (scan_pass, seconds, observations)."""
+    return passes.groupBy("scan_pass").agg(F.count("*").alias("pages"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("mean_seconds"), F.sum("observations").alias("observations"))
+
+
+def retention(cases: DataFrame) -> DataFrame:
+    """(expectation, total, kept) of cases (expectation, status): what must be retained, and what is only probed."""
+    return cases.groupBy("expectation").agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col("status") != "BENIGN_LIKELY", F.lit(False))).alias("kept"))
+
+
+def matrix_rollup(runs: DataFrame) -> DataFrame:
+    """One row over runs (generated, required, hits, elapsed, detector_recall, recall, precision) of several seeds: sums, means and worst."""
+    return runs.agg(
+        F.count("*").alias("runs"), F.sum("generated").alias("generated"), F.sum("required").alias("required"), F.sum("hits").alias("hits"), F.avg("elapsed").alias("mean_elapsed"), F.max("elapsed").alias("most_elapsed"),
+        *[F.min(c).alias(f"least_{c}") for c in ("detector_recall", "recall", "precision")],
+    )
+
+
+def weakest(verified: DataFrame, top: int = 10) -> DataFrame:
+    """The retained candidates of least score."""
+    return verified.where("verification_status <> 'BENIGN_LIKELY'").orderBy("verification_score", "url", "location", "technique").limit(top)
+
+
+def machine_fingerprint(fields: dict[str, str]):
+    """The first 20 digits of the digest of a machine's properties (a column each, by name) but for its free memory."""
+    kept = sorted(k for k in fields if k != "memory_available_mb")
+    return F.substring(F.sha2(F.to_json(F.struct(*[F.col(fields[k]).alias(k) for k in kept])), 256), 1, 20)
+
+
+def usable_tuning(cache: DataFrame, *, schema: int, fingerprint: str, now: float, tried: tuple[int, ...] = (4, 6, 8), age: float = 30 * 86_400) -> DataFrame:
+    """The cached tuning results that still hold: of this schema and machine, not too old, with workers that are tried at all."""
+    return cache.where((F.col("schema") == schema) & (F.col("fingerprint") == fingerprint) & (F.lit(now) - F.col("created_at_epoch") <= age) & F.col("selected_workers").isin(*tried))

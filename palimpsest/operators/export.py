@@ -68,3 +68,30 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
 def run_summary(verified: DataFrame) -> DataFrame:
     """How many candidates of each technique have each status, with totals."""
     return verified.rollup("technique", "verification_status").agg(F.count("*").alias("n"))
+
+
+def write_auxiliary(rows: DataFrame, entry_url: str, path: str) -> None:
+    """One JSON file of auxiliary findings, marked as not official; a field that an event doesn't have is left out."""
+    found = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None and k != "seq"} for r in rows.orderBy("id").collect()]
+    with open(path, "w", encoding="utf-8", newline="\n") as f:
+        json.dump({"meta": {"entry_url": entry_url, "official_findings": False}, "auxiliary_findings": found}, f, ensure_ascii=False, indent=2)
+        f.write("\n")
+
+
+def file_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(path, problem) of result files that can't be read: a byte order mark, bytes that aren't UTF-8, no findings."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    found = F.get_json_object("text", "$.findings")
+    problem = (
+        F.when(F.substring(F.hex("content"), 1, 6) == "EFBBBF", "BYTE_ORDER_MARK")
+        .when(F.col("text").isNull(), "NOT_UTF8")
+        .when(F.get_json_object("text", "$").isNull(), "NOT_JSON")
+        .when(F.get_json_object("text", "$.meta").isNull(), "NO_META")
+        .when(found.isNull() | ~found.startswith("["), "NO_FINDINGS")
+    )
+    return raw.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def auxiliary_summary(aux: DataFrame) -> DataFrame:
+    """One row: how many auxiliary findings are suspicious, and the first that concerns a host."""
+    return aux.agg(F.count_if(F.col("risk") == "SUSPICIOUS").alias("suspicious"), F.min_by("hostname", F.when(F.col("type") == "DOMAIN_IMPERSONATION_RISK", F.col("id"))).alias("first_host"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed, text, urls
-from palimpsest.operators import context, decide, detect, evaluate, export, frontier, merge, model, rules_v1, url_risk
+from palimpsest.operators import context, decide, detect, evaluate, export, frontier, game, merge, model, rules_v1, url_risk
 from palimpsest.plans.storage import written
 from palimpsest.sources import html, observations
 from palimpsest.streaming import log
@@ -452,3 +452,52 @@ def log_events(spark, sf_dir):
 SELECT run, metric, arg_max(value, seq) AS value FROM sets GROUP BY run, metric""")
 def log_state(spark, sf_dir):
     return log.state(_lines(spark, sf_dir))
+
+
+# --- the rest ------------------------------------------------------------------------------------
+
+_STATES = """CASE WHEN event_id * 37 % 700 >= 520 THEN 'none' ELSE event_type END || '|' || (SELECT count(*) FROM (VALUES (35), (60), (90), (125), (170), (230), (320), (520)) c(x) WHERE x < event_id * 37 % 700) || '|'
+  || CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 8 = 0 THEN 'airUp' ELSE 'airDown' END WHEN event_id % 5 = 0 THEN 'duck' ELSE 'ground' END || '|' || (SELECT count(*) FROM (VALUES (7.5), (9.5), (11.5), (13)) c(x) WHERE x < 6 + event_id % 9)"""
+
+
+@query(f"SELECT state, count(*) AS n FROM (SELECT {_STATES} AS state FROM events) GROUP BY state")
+def game_states(spark, sf_dir):
+    e = F.col("event_id")
+    state = game.game_state(F.col("event_type"), e * 37 % 700, 6 + e % 9, e % 4 != 0, e % 5 == 0, F.when(e % 8 == 0, -1).otherwise(1))
+    return _table(spark, sf_dir, "events").select(state.alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def game_policies(spark, sf_dir):
+    e = F.col("event_id")
+    state = game.game_state(F.col("event_type"), e * 37 % 700, 6 + e % 9, e % 4 != 0, e % 5 == 0, F.lit(1))
+    after = game.game_state(F.col("event_type"), (e * 37 + 60) % 700, 6 + e % 9, e % 4 != 0, e % 5 == 0, F.lit(1))
+    steps = _table(spark, sf_dir, "events").select(F.col("user_id").alias("player"), e.alias("seq"), state.alias("state"), (e % 3).cast("int").alias("action"), F.col("value").alias("reward"), after.alias("next_state"), (e % 10 == 9).alias("done"))
+    return game.best_actions(game.learn(steps))
+
+
+@query("""WITH t AS (SELECT sum(value) FILTER (event_id % 3 = 0) AS render, sum(value) FILTER (event_id % 3 = 1) AS scan, sum(value) FILTER (event_id % 3 = 2) AS links FROM events)
+SELECT stage, round(seconds, 4) AS seconds FROM (SELECT 'render' AS stage, render AS seconds FROM t UNION ALL SELECT 'scan', scan FROM t UNION ALL SELECT 'links', links FROM t)""")
+def stage_totals(spark, sf_dir):
+    e = F.col("event_id")
+    timings = _table(spark, sf_dir, "events").select(*[F.when(e % 3 == i, F.col("value")).alias(s) for i, s in enumerate(("render", "scan", "links"))])
+    return evaluate.stage_totals(timings, ["render", "scan", "links"]).withColumn("seconds", F.round("seconds", 4))
+
+
+@query("SELECT event_type AS scan_pass, count(*) AS pages, round(sum(value), 4) AS seconds, round(avg(value), 6) AS mean_seconds, sum(event_id % 7)::BIGINT AS observations FROM events GROUP BY event_type")
+def pass_stats(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("scan_pass"), F.col("value").alias("seconds"), (F.col("event_id") % 7).alias("observations"))
+    return evaluate.pass_stats(rows).withColumn("seconds", F.round("seconds", 4)).withColumn("mean_seconds", F.round("mean_seconds", 6))
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def hourly_events(spark, sf_dir):
+    """Tumbling windows over event time: an extra; the same plan runs on a stream with a watermark."""
+    hours = _table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return hours.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query("SELECT technique, passes, sum(n)::BIGINT AS n FROM (" + ORACLES["pass_profile"] + ") GROUP BY ROLLUP (technique, passes)")
+def profile_rollup(spark, sf_dir):
+    profile = evaluate.pass_profile(_merged(spark, sf_dir))
+    return profile.rollup("technique", "passes").agg(F.sum("n").alias("n"))
