@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of
+from palimpsest.llm.common import docs_of, row_of, with_row
 
 #: Words that a worker remembers; then it starts afresh. Bounds memory, not results.
 REMEMBERED = 300_000
@@ -346,7 +346,7 @@ def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str =
     """
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c not in (out, decoded)]
-    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("text"))
+    work = df.select(row_of(rest).alias("row"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern)
@@ -360,8 +360,7 @@ def encode(df: DataFrame, path: str, *, text: str | Column = "text", out: str =
                     made.append(pa.array(c.decode(ids, sizes), pa.binary()))
                 yield pa.RecordBatch.from_arrays(made, ["row", "ids", "decoded"][: len(made)])
 
-    row = work.schema["row"].dataType.simpleString()
-    done = work.mapInArrow(run, f"row {row}, ids array<int>" + ", decoded binary" * bool(decoded))
+    done = work.mapInArrow(run, with_row(work, "ids array<int>" + ", decoded binary" * bool(decoded)))
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
@@ -372,7 +371,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded",
     """
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c != out]
-    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+    work = df.select(row_of(rest).alias("row"), F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern)
@@ -384,8 +383,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded",
                 got = c.decode(flat[edge[a] : edge[b]], sizes[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(got, pa.binary())], ["row", "out"])
 
-    row = work.schema["row"].dataType.simpleString()
-    done = work.mapInArrow(run, f"row {row}, out binary")
+    done = work.mapInArrow(run, with_row(work, "out binary"))
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("out").alias(out))
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of
+from palimpsest.llm.common import docs_of, row_of
 from palimpsest.llm.stats import text_stats
 
 #: Labelled rows that the model is fitted on at most, taken by a hash of their id; it scores every row.
@@ -165,7 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text
 def score_quality(docs: DataFrame, model: RuleModel, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The other columns of docs, score and predicted. Null and empty texts are scored by their zero statistics."""
     rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
-    stats = text_stats(docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row_"), text), text=text)
+    stats = text_stats(docs.select(row_of(rest).alias("row_"), text), text=text)
     columns = features()
     named = stats.select("row_", *[c.alias(f"f_{k}") for k, c in columns.items()])
     out = named.select("row_", model.score({k: F.col(f"f_{k}") for k in columns}).alias("score"))
@@ -181,4 +181,4 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's score of every whole text of documents."""
     docs = docs_of(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out())
-    return score_quality(docs, fit_quality(docs, labels)).select("doc_id", held_out().alias("held_out"), F.round("score", 9).alias("score"), "predicted")
+    return score_quality(docs, fit_quality(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,9 +32,21 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rename_free(df: DataFrame, **columns) -> DataFrame:
-    """Only the named expressions, so that no other column of df can clash with a working name."""
-    return df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()])
+def row_of(columns: list[str]) -> Column:
+    """Some columns as one struct, so that none can clash with a working name; no columns give a struct of one constant."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("_"))
+
+
+def with_row(work: DataFrame, rest: str) -> StructType:
+    """The schema of work's struct named row and of some more columns, given as DDL; DDL couldn't name every field of the row."""
+    return StructType([StructField("row", work.schema["row"].dataType), *StructType.fromDDL(rest).fields])
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name that no column has."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:

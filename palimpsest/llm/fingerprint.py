@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import docs_of, partitions
+from palimpsest.llm.common import docs_of, fresh, partitions
 
 #: Words of a shingle, and the fraction of all hashes that is kept, as one part in so many.
 WORDS, PART = 5, 8
@@ -27,15 +27,16 @@ def with_sketch(df: DataFrame, text: str, out: str, *, words: int = WORDS, part:
     among them) have an empty sketch. Other columns stay, one named out is replaced.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    h, s, m, k = (fresh(df.columns, name) for name in ("_hashes", "_shingles", "_least", "_kept"))
     most = -(2**63) + 2**64 // part - 1
-    hashed = df.select(*rest, F.expr(f"transform(filter(split(coalesce(`{text}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), w -> xxhash64(w))").alias("_h"))
-    # _h is used more than once, so Catalyst doesn't move its making into the lambda.
+    hashed = df.select(*rest, F.expr(f"transform(filter(split(coalesce(`{text}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), w -> xxhash64(w))").alias(h))
+    # The hashes are used more than once, so Catalyst doesn't move their making into the lambda.
     shingled = hashed.select(
         *rest,
-        F.expr(f"CASE WHEN size(_h) >= {words} THEN transform(sequence(1, size(_h) - {words - 1}), i -> xxhash64(slice(_h, i, {words}))) WHEN size(_h) > 0 THEN array(xxhash64(_h)) ELSE array() END").alias("_s"),
+        F.expr(f"CASE WHEN size({h}) >= {words} THEN transform(sequence(1, size({h}) - {words - 1}), i -> xxhash64(slice({h}, i, {words}))) WHEN size({h}) > 0 THEN array(xxhash64({h})) ELSE array() END").alias(s),
     )
-    kept = shingled.select(*rest, F.array_min("_s").alias("_m"), F.expr(f"sort_array(array_distinct(filter(_s, x -> x <= {most}L)))").alias("_k"))
-    return kept.select(*rest, F.when((F.size("_k") == 0) & F.col("_m").isNotNull(), F.array("_m")).otherwise(F.col("_k")).alias(out))
+    kept = shingled.select(*rest, F.array_min(s).alias(m), F.expr(f"sort_array(array_distinct(filter({s}, x -> x <= {most}L)))").alias(k))
+    return kept.select(*rest, F.when((F.size(k) == 0) & F.col(m).isNotNull(), F.array(m)).otherwise(F.col(k)).alias(out))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -65,35 +66,34 @@ def with_next(df: DataFrame, payload: list[str], *, id_: str = "doc_id", out: st
     at = [i / n for i in range(n + 1)]
     got = df.select(F.percentile_approx(id_, at, 10 * n).alias("q")).first()["q"] or []
     tops = sorted(set(got), reverse=True)  # each is the highest id of a range
-    top = F.lit(0)
+    own = [c for c in df.columns if c != out]
+    known, where, place, more = (fresh(own, name) for name in ("_tops", "_at", "_place", "_more"))
+    rest = [F.col(f"`{c}`") for c in own]
     if tops:
-        bounds = F.array(*map(F.lit, tops))
         # How many tops are not below the id, by bisection; the last of them is the range's.
+        middle = "cast((s.lo + s.hi) div 2 as int)"
         many = F.expr(
             f"aggregate(sequence(1, {math.ceil(math.log2(len(tops) + 1)) + 1}), named_struct('lo', 0, 'hi', {len(tops)}), "
-            f"(s, i) -> if(s.lo >= s.hi, s, if(_tops[cast((s.lo + s.hi) div 2 as int)] >= `{id_}`, "
-            f"named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)"
+            f"(s, i) -> if(s.lo >= s.hi, s, if({known}[{middle}] >= `{id_}`, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))), s -> s.lo)"
         )
-        df = df.withColumn("_tops", bounds)
-        top = F.when(F.col(id_).isNull(), len(tops) - 1).otherwise(many - 1)
-    own = df.columns if not tops else [c for c in df.columns if c != "_tops"]
-    placed = df.withColumn("_at", top)
-    is_top = F.lit(False) if not tops else F.element_at("_tops", F.col("_at") + 1) == F.col(id_)
-    places = F.when(
-        F.coalesce(is_top, F.lit(False)),
-        F.array(F.struct(F.col("_at").alias("at"), F.lit(False).alias("copy")), F.struct(F.when(F.col("_at") == 0, max(len(tops) - 1, 0)).otherwise(F.col("_at") - 1).alias("at"), F.lit(True).alias("copy"))),
-    ).otherwise(F.array(F.struct(F.col("_at").alias("at"), F.lit(False).alias("copy"))))
-    dealt = placed.select(*[F.col(f"`{c}`") for c in own], F.explode(places).alias("_place"))
-    order = Window.partitionBy("_place.at").orderBy("_place.copy", F.col(id_).desc_nulls_last(), F.xxhash64(*payload))
+        last = len(tops) - 1
+        placed = df.select(*rest, F.array(*map(F.lit, tops)).alias(known)).withColumn(where, F.when(F.col(id_).isNull(), last).otherwise(many - 1))
+        here = F.struct(F.col(where).alias("at"), F.lit(False).alias("copy"))
+        there = F.struct(F.when(F.col(where) == 0, last).otherwise(F.col(where) - 1).alias("at"), F.lit(True).alias("copy"))
+        is_top = F.coalesce(F.element_at(known, F.col(where) + 1) == F.col(id_), F.lit(False))
+        dealt = placed.select(*rest, F.explode(F.when(is_top, F.array(here, there)).otherwise(F.array(here))).alias(place))
+    else:
+        dealt = df.select(*rest, F.struct(F.lit(0).alias("at"), F.lit(False).alias("copy")).alias(place))
+    order = Window.partitionBy(f"{place}.at").orderBy(f"{place}.copy", F.col(id_).desc_nulls_last(), F.xxhash64(*payload))
     # Each column by itself: a struct of them would be shuffled beside them.
-    more = F.lead(F.lit(True)).over(order).alias("_more")
-    led = dealt.select("*", more, *[F.lead(c).over(order).alias(f"_next_{c}") for c in payload]).where(~F.col("_place.copy"))
-    led = led.select(*own, F.when(F.col("_more"), F.struct(*[F.col(f"_next_{c}").alias(c) for c in payload])).alias(out))
+    ahead = {c: fresh(own, f"_next_{c}") for c in payload}
+    led = dealt.select("*", F.lead(F.lit(True)).over(order).alias(more), *[F.lead(c).over(order).alias(a) for c, a in ahead.items()]).where(~F.col(f"{place}.copy"))
+    led = led.select(*rest, F.when(F.col(more), F.struct(*[F.col(a).alias(c) for c, a in ahead.items()])).alias(out))
     if tops:
         return led
     # Without an id every row is in one range, ordered by its hash; the last is followed by the first.
-    first = df.select(F.min_by(F.struct(*payload), F.xxhash64(*payload)).alias("_first"))
-    return led.join(F.broadcast(first)).withColumn(out, F.coalesce(out, "_first")).drop("_first")
+    first = df.select(F.min_by(F.struct(*payload), F.xxhash64(*payload)).alias(more))
+    return led.join(F.broadcast(first)).select(*rest, F.coalesce(out, more).alias(out))
 
 
 def edited(text: Column, following: Column) -> Column:

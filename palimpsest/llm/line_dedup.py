@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palimpsest.llm.common import docs_of, materialize
 
@@ -100,8 +101,8 @@ def line_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
             columns = [pa.array(texts, row.type.field(at).type) if i == at else row.field(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int64()), pa.array(gone, pa.int64())], [f"c{i}" for i in range(len(rest) + 2)])
 
-    kinds = [f.dataType.simpleString() for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema] + ["bigint", "bigint"]
-    done = both.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    kinds = [f.dataType for f in rows.schema["row"].dataType] + [LongType(), LongType()]
+    done = both.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
     return done.toDF(*rest, "n_lines", "n_removed")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm.bpe import CHUNK, LibraryCodec, _chunks, _vocabulary, codec
-from palimpsest.llm.common import docs_of, materialize, partitions
+from palimpsest.llm.common import docs_of, materialize, partitions, row_of, with_row
 
 #: Tokens of a sequence at most, buckets at most, tokens of a batch (padding included) at most.
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 16, 65_536
@@ -26,7 +26,7 @@ def token_counts(df: DataFrame, path: str, *, text: str = "text", out: str = "n_
     """df with the number of a text's tokens, bigint, under the vocabulary at path in place of the text; none for null."""
     vocab, pattern = _vocabulary(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c not in (text, out)]
-    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    work = df.select(row_of(rest).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern, LibraryCodec)
@@ -35,7 +35,7 @@ def token_counts(df: DataFrame, path: str, *, text: str = "text", out: str = "n_
             many = [c.encode(texts[a:b])[1] for a, b in _chunks([len(t) for t in texts], CHUNK)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate([np.zeros(0, np.int64), *many]), pa.int64())], ["row", "n"])
 
-    done = work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, n bigint")
+    done = work.mapInArrow(run, with_row(work, "n bigint"))
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("n").alias(out))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of
+from palimpsest.llm.common import docs_of, with_row
 
 #: Characters a token below which a string counts as random, and the least length of a candidate.
 CHARS_PER_TOKEN, LEAST = 2.2, 20
@@ -116,7 +116,7 @@ def scan_secrets(df: DataFrame, path: str, *, text: str = "text", chars_per_toke
                 out.append([{"kind": k, "start": a, "end": b, "base": k != "random"} for k, a, b in ordered(base + more)])
             yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.list_(span))], ["row", "spans"])
 
-    done = work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    done = work.mapInArrow(run, with_row(work, "spans array<struct<kind:string,start:int,end:int,base:boolean>>"))
     return done.select("row.*", "spans")
 
 

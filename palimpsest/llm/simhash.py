@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of, materialize
+from palimpsest.llm.common import docs_of, materialize, row_of, with_row
 from palimpsest.llm.graph import components
 
 SEGMENTS, BITS = 16, 4
@@ -54,14 +54,14 @@ def fingerprints(df: DataFrame, *, text: str = "text", words: int = 4, out: str
     texts without words have fingerprint 0. Other columns stay, one named like out is replaced.
     """
     rest = [c for c in df.columns if c not in (text, out)]
-    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{text}`").alias("text"))
+    work = df.select(row_of(rest).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([fingerprint_of(t, words) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), made], ["row", "fp"])
 
-    done = work.mapInArrow(run, f"row {work.schema['row'].dataType.simpleString()}, fp bigint")
+    done = work.mapInArrow(run, with_row(work, "fp bigint"))
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("fp").alias(out))
 
 
@@ -160,8 +160,9 @@ def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
     prints = materialize(fingerprints(df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text")), words=words), "simhash-docs")
     known = linked(prints, id_="id", distance=distance).where(F.col("id").eqNullSafe(F.col("component_id")))
     first = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
-    keep = df.withColumn("_h", F.xxhash64(text)).alias("d").join(first.alias("k"), F.col(f"d.{id_}").eqNullSafe(F.col("k.id")) & (F.col("d._h") == F.col("k.h")), "left_semi")
-    return keep.dropDuplicates([id_, "_h"]).drop("_h")
+    rows = df.select(row_of(df.columns).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).alias("d")
+    keep = rows.join(first.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")), "left_semi")
+    return keep.dropDuplicates(["id", "h"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import row_of, with_row
+
 #: Words in a window of which a second occurrence counts as repetition.
 WINDOW = 5
 
@@ -81,12 +83,11 @@ def text_stats(df: DataFrame, *, text: str = "text") -> DataFrame:
     A column named like one of STATS is replaced.
     """
     keep = [c for c in df.columns if c != text and c not in STATS]
-    work = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
+    work = df.select(row_of(keep).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([stats_of(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c) for c in rows.T)], ["row", *STATS])
 
-    schema = f"row {work.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in STATS)
-    return work.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in keep], *STATS)
+    return work.mapInArrow(run, with_row(work, ", ".join(f"{c} bigint" for c in STATS))).select(*[F.col("row").getField(c).alias(c) for c in keep], *STATS)
