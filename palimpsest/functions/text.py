@@ -54,15 +54,20 @@ def fullwidth(text: Column) -> Column:
     return text.rlike("[\uff10-\uff19\uff21-\uff3a\uff41-\uff5a]")
 
 
+def _mixes(text: Column, letter: str) -> Column:
+    """Whether a run of such letters has an ASCII one and one that looks like one, in either order."""
+    # Greek and Cyrillic are two ranges, which a text without them fails fast.
+    return text.rlike("[\u0370-\u04ff]") & text.rlike(f"(?U)[A-Za-z]{letter}*[{_CONFUSABLE}]|[{_CONFUSABLE}]{letter}*[A-Za-z]")
+
+
 def mixed_script(text: Column) -> Column:
     """Whether a word of Latin, Greek and Cyrillic letters has an ASCII letter and one that looks like one."""
-    words = F.regexp_extract_all(text, F.lit("([A-Za-z\u0370-\u03ff\u0400-\u04ff]+)"), 1)
-    return text.rlike(f"[{_CONFUSABLE}]") & F.exists(words, lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
+    return _mixes(text, "[A-Za-z\u0370-\u03ff\u0400-\u04ff]")
 
 
 def mixed_word(text: Column) -> Column:
     """As mixed_script, for words of any characters that count as one."""
-    return text.rlike(f"[{_CONFUSABLE}]") & F.exists(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), 1), lambda w: w.rlike("[A-Za-z]") & w.rlike(f"[{_CONFUSABLE}]"))
+    return _mixes(text, r"\w")
 
 
 def invisible(text: Column) -> Column:
@@ -76,14 +81,22 @@ def source_sample(text: Column) -> Column:
     return (F.length(text) >= 120) & ((low.contains("<!--") & (hits >= 2)) | (hits >= 3))
 
 
-def inner_digit(text: Column) -> Column:
-    """Whether a digit that looks like a letter stands between ASCII letters, outside of addresses and long machine tokens."""
-    inner = "(?<=[A-Za-z])[0134578](?=[A-Za-z])"
-    whole = nfkc(F.when(text.rlike(r"\p{N}"), text))
+def numbered(text: Column) -> Column:
+    """The composed form of a text with a number in it, null for others; what inner_digit looks at."""
+    return nfkc(F.when(text.rlike(r"\p{N}"), text))
+
+
+def inner_digit(text: Column, whole: Column | None = None) -> Column:
+    """Whether a digit that looks like a letter stands between ASCII letters, outside of addresses and long machine tokens.
+
+    whole may be a column that holds numbered(text): an expression with a function in Python is made once for each place it is used in.
+    """
+    inner = "[A-Za-z][0134578][A-Za-z]"
+    whole = numbered(text) if whole is None else whole
     bare = F.regexp_replace(whole, r"(?i)(?:https?://|www\.)(?U:\S)+", " ")
     bare = F.regexp_replace(bare, r"(?U)\b[A-Za-z0-9_-]{16,}\b", " ")
-    # Most texts fail the first, cheap test.
-    return F.coalesce(whole.rlike(inner) & bare.rlike(inner) & ~source_sample(text), F.lit(False))
+    # Most texts fail the first, cheap test; the others are only made where it holds.
+    return F.when(whole.rlike(inner), bare.rlike(inner) & ~source_sample(text)).otherwise(False)
 
 
 def jamo_syllable(text: Column) -> Column:

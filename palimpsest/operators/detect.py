@@ -60,9 +60,10 @@ def jamo_reasons() -> Column:
     return _codes((text.jamo_syllable(F.col("text")), "JAMO"))
 
 
-def homoglyph_reasons() -> Column:
+def homoglyph_reasons(*, numbered: bool = False) -> Column:
+    """numbered: whether a column _numbered holds text.numbered() of the text."""
     t = F.col("text")
-    digit = text.inner_digit(t)
+    digit = text.inner_digit(t, F.col("_numbered") if numbered else None)
     return _codes((text.fullwidth(t), "FULLWIDTH"), (text.mixed_script(t), "MIXED"), (digit, "DIGIT"))
 
 
@@ -72,8 +73,9 @@ def detect(obs: DataFrame, techniques: tuple[str, ...] = fixed.TECHNIQUES) -> Da
     seq orders candidates as technique, page, pass, element. Rows of a null text give no candidate of the
     two that look at texts; null numbers and flags give none of the others.
     """
-    reasons = {"TRANSPARENT": transparent_reasons, "OFFSCREEN": offscreen_reasons, "JAMO": jamo_reasons, "HOMOGLYPH": homoglyph_reasons}
-    named = obs.select("*", *[reasons[t]().alias(f"_{t}") for t in techniques])
+    reasons = {"TRANSPARENT": transparent_reasons, "OFFSCREEN": offscreen_reasons, "JAMO": jamo_reasons, "HOMOGLYPH": lambda: homoglyph_reasons(numbered=True)}
+    made = obs.withColumn("_numbered", text.numbered(F.col("text"))) if "HOMOGLYPH" in techniques else obs
+    named = made.select("*", *[reasons[t]().alias(f"_{t}") for t in techniques])
     each = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(i).alias("rank"), F.col(f"_{t}").alias("reason")) for i, t in enumerate(fixed.TECHNIQUES) if t in techniques])
     hits = named.withColumn("_c", F.explode(F.filter(each, lambda c: F.size(c["reason"]) > 0)))
     kind = F.col("_c.technique")
