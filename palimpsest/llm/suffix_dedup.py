@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of, materialize
+from palimpsest.llm.common import docs_of, materialize, with_row
 
 SPAN, WINDOW, GRAM = 400, 64, 8
 #: Strings of a shard; of a task's merge, about; and with one middle up to which they are merged: see windows_of_crowds().
@@ -225,7 +225,8 @@ def repeated_spans(df: DataFrame, *, id_: str = "doc_id", text: str = "text", sp
     """docs (id, h, text) and (id, h, found) of the texts with repeated strings: array of (at, before, after, mask)."""
     docs = df.select(F.col(id_).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     scanned = materialize(_scan(docs, span, window), "owners")
-    shared = scanned.groupBy("middle").count().where("count > 1").select("middle")
+    # Written before the join, so that Spark can split a middle that very many owners share.
+    shared = materialize(scanned.groupBy("middle").count().where("count > 1").select("middle"), "middles")
     owned = materialize(scanned.join(shared, "middle"), "owners-shared")
     kinds = owned.groupBy("middle", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at", "before", "after")).alias("one"))
     kinds = materialize(kinds, "owner-kinds")
@@ -282,7 +283,7 @@ def suffix_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", span
             runs = pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.binary()), runs, pa.array(many, pa.int64())], ["row", "kept", "removed", "n_bytes"])
 
-    done = both.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, kept binary, removed array<struct<start:int,end:int>>, n_bytes bigint")
+    done = both.mapInArrow(run, with_row(rows, "kept binary, removed array<struct<start:int,end:int>>, n_bytes bigint"))
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], "kept", "removed", "n_bytes")
 
 
