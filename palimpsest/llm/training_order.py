@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import CHUNK, LibraryCodec, _chunks, _vocabulary, codec
-from palimpsest.llm.common import docs_of, materialize, partitions, shared_dir
+from palimpsest.llm.common import docs_of, materialize, partitions, shared_dir, union_all
 
 #: Tokens of a sequence, sequences of a shard, rounds of the network.
 LENGTH, SHARD, ROUNDS = 256, 16_384, 6
+#: Ranges of shards that are shuffled one after the other, so that only a part of all tokens lies in shuffle files at a time.
+WAVES = 2
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Id that ends a document and fills up its last sequence.
 END = 50_256
 
@@ -90,8 +93,8 @@ def sequences(df: DataFrame, path: str, *, id_: str = "doc_id", text: str = "tex
     return work.mapInArrow(run, f"id {work.schema['id'].dataType.simpleString()}, part int, n_tokens int, tokens binary")
 
 
-def with_slots(stored: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFrame:
-    """stored, a written table, with each row's slot, dense from 0, and the number of its shard.
+def with_slots(stored: DataFrame, seed: int = 0, shard: int = SHARD, waves: int = WAVES) -> DataFrame:
+    """stored, a written table, with each row's slot, dense from 0, the number of its shard, and the range and wave that the shard is written in.
 
     Rows are numbered as they lie in the files (file, then row of the file); only a count for each file
     comes to the driver. So a task that runs again numbers its rows as before.
@@ -110,7 +113,10 @@ def with_slots(stored: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFram
 
         return pd.Series(permute(index.to_numpy(), n, seed))
 
-    return placed.withColumn("slot", slot("index")).drop("index").withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
+    ranges = partitions(spark)  # in each wave
+    placed = placed.withColumn("slot", slot("index")).drop("index").withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
+    place = F.floor(F.col("shard").cast("bigint") * (ranges * waves) / (-(-n // shard) or 1)).cast("int")
+    return placed.withColumn("wave", F.floor(place / ranges).cast("int")).withColumn("range", place % ranges)
 
 
 def _store(folder: str):
@@ -122,13 +128,27 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
-def write_shards(placed: DataFrame, folder: str, *, shard: int = SHARD) -> DataFrame:
+def write_shards(placed: DataFrame, folder: str, *, shard: int = SHARD, waves: int = WAVES) -> DataFrame:
     """Write tokens by slot into folder/shard-NNNNNNNN.bin; the index (slot, shard, byte_offset, id, part, n_tokens, sha256) of every record.
 
-    A shard is written under another name and renamed when whole, so a task that ends early or runs
-    twice leaves whole shards only. folder is any address that pyarrow's file systems know.
+    Shards are written in waves of consecutive ranges; a wave's shuffle files go when its shards and its
+    part of the index are written. A shard is written under another name and renamed when whole, so a
+    task that ends early or runs twice leaves whole shards only. folder is any address that pyarrow's
+    file systems know.
     """
-    tokens = placed.select("shard", "slot", "id", "part", "n_tokens", "tokens").repartitionByRange(partitions(placed.sparkSession), "shard").sortWithinPartitions("slot")
+    spark = placed.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return union_all([materialize(_wave(placed.where(F.col("wave") == w), folder, shard), f"shard-index-{w}") for w in range(waves)])
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _wave(placed: DataFrame, folder: str, shard: int) -> DataFrame:
+    # Slots are dense, so ranges of equal size are known beforehand; a range partitioner would read everything once more to find them.
+    dealt = placed.repartitionById(partitions(placed.sparkSession), "range").sortWithinPartitions("slot")
+    tokens = dealt.select("shard", "slot", "id", "part", "n_tokens", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
