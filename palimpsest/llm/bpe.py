@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -248,7 +249,7 @@ class Codec:
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some words laid end to end, and how many each has."""
         self.con.register("init", self.rows(words))
-        return self.by_word(self.con.execute(_SHORT_SQL).to_arrow_table())
+        return self.by_word(self.con.sql(_SHORT_SQL).to_arrow_table())
 
     def by_word(self, got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         got = got.sort_by("w").combine_chunks()
@@ -262,7 +263,7 @@ class Codec:
         while self.con.execute("SELECT 1 FROM s WHERE k IS NOT NULL LIMIT 1").fetchone():
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE s2 AS {_LONG_SQL}")
             self.con.execute("DROP TABLE s; ALTER TABLE s2 RENAME TO s")
-        return self.by_word(self.con.execute("SELECT w, list(t ORDER BY p) AS ids FROM s GROUP BY w").to_arrow_table())
+        return self.by_word(self.con.sql("SELECT w, list(t ORDER BY p) AS ids FROM s GROUP BY w").to_arrow_table())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts laid end to end, and how many each has."""
@@ -271,11 +272,11 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         if len(self.index) > REMEMBERED:
             self.shed()
-        found = list(map(self.index.get, words))
-        if None in found:
-            self.add(list({w for w, i in zip(words, found, strict=True) if i is None}))
-            found = list(map(self.index.__getitem__, words))
-        w = np.array(found, dtype=np.int64)
+        w = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(w < 0).tolist()
+        if new:
+            self.add(list({words[i] for i in new}))
+            w[new] = [self.index[words[i]] for i in new]
         self.hits += np.bincount(w, minlength=len(self.hits))
         many = self.many[w]
         end = np.cumsum(many)
@@ -288,7 +289,8 @@ class Codec:
         out = [b""] * len(sizes)
         d = np.repeat(np.arange(len(sizes)), sizes)
         self.con.register("rows_", pa.table({"d": d, "p": np.arange(len(ids)), "id": ids}))
-        for i, x in self.con.execute(_DECODE_SQL).fetchall():
+        got = self.con.sql(_DECODE_SQL).to_arrow_table()
+        for i, x in zip(got["d"].to_pylist(), got["bytes"].to_pylist(), strict=True):
             out[i] = x
         return out
 

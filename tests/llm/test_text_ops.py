@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, classifier, quality_rules, secret_scan, stats
+from palimpsest.llm import bpe, classifier, quality_rules, secret_scan
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, ids string, row int"  # extra columns whose names clash with working ones
