@@ -77,7 +77,8 @@ def detect(obs: DataFrame, techniques: tuple[str, ...] = fixed.TECHNIQUES) -> Da
     made = obs.withColumn("_numbered", text.numbered(F.col("text"))) if "HOMOGLYPH" in techniques else obs
     named = made.select("*", *[reasons[t]().alias(f"_{t}") for t in techniques])
     each = F.array(*[F.struct(F.lit(t).alias("technique"), F.lit(i).alias("rank"), F.col(f"_{t}").alias("reason")) for i, t in enumerate(fixed.TECHNIQUES) if t in techniques])
-    hits = named.withColumn("_c", F.explode(F.filter(each, lambda c: F.size(c["reason"]) > 0)))
+    # Of an inner explode Catalyst infers a filter below it, which would work out every reason twice.
+    hits = named.withColumn("_c", F.explode_outer(F.filter(each, lambda c: F.size(c["reason"]) > 0))).where(F.col("_c").isNotNull())
     kind = F.col("_c.technique")
     return hits.select(
         "url",
