@@ -1,7 +1,7 @@
 """Secret scans: three fixed patterns, and strings that a tokenizer can hardly compress.
 
 Random strings give a byte-level BPE few characters a token; words and identifiers give it many.
-Candidates that are digests, UUIDs or identifiers made of words are left out first.
+Digests, UUIDs, numbers and identifiers whose parts are words to the tokenizer are left out.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_SIZES = frozenset((32, 40, 48, 56, 64, 96, 128))
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-# Parts of identifiers: words in small letters, capitalised or all capitals, with up to four digits after them, or a number.
-_WORDS = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+|[A-Za-z])[0-9]{0,4}[_/=+-]*)*")
+# Parts of identifiers: letters up to a change of case, a digit or a separator.
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: The least letters of a word, and the characters a token from which a part counts as one.
+WORD_LETTERS, WORD_CHARS_PER_TOKEN = 3, 3
 
 Span = tuple[str, int, int]
 
@@ -57,14 +59,20 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def benign(s: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers made of words aren't taken for random strings."""
+    """Digests, UUIDs and numbers aren't taken for random strings."""
     bare = s.strip("=_-+/")
-    if not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
+    if not any(c.isalpha() for c in bare):
         return True
-    if len(bare) in _DIGEST_SIZES and _DIGEST.fullmatch(bare) or _UUID.fullmatch(bare):
-        return True
-    words = re.findall(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}", bare)
-    return bool(_WORDS.fullmatch(bare)) and sum(map(len, words)) * 10 >= len(bare) * 6
+    return bool(len(bare) in _DIGEST_SIZES and _DIGEST.fullmatch(bare) or _UUID.fullmatch(bare))
+
+
+def identifier(s: str, encoder) -> bool:
+    """Whether the parts of s are words to the tokenizer, short ones aside, and make up most of it."""
+    bare = s.strip("=_-+/")
+    words = [p for p in _PARTS.findall(bare) if len(p) >= WORD_LETTERS]
+    if sum(map(len, words)) * 10 < len(bare) * 6:
+        return False
+    return all(len(p) >= WORD_CHARS_PER_TOKEN * len(encoder.encode_ordinary(" " + p.lower())) for p in words)
 
 
 def random_spans(text: str, encoder, most: float = CHARS_PER_TOKEN) -> list[Span]:
@@ -72,7 +80,7 @@ def random_spans(text: str, encoder, most: float = CHARS_PER_TOKEN) -> list[Span
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if not benign(s) and len(s) < most * len(encoder.encode_ordinary(s)):
+        if not benign(s) and len(s) < most * len(encoder.encode_ordinary(s)) and not identifier(s, encoder):
             out.append(("random", m.start(), m.end()))
     return out
 

@@ -98,6 +98,17 @@ def test_random_strings_and_what_resembles_them():
         assert found(f"see {benign} there") == []
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_keys_of_few_kinds_of_characters(alphabet):
+    with open(PATH, "rb") as f:
+        encoder = secret_scan.encoder_of(f.read())
+    rng = random.Random(7)
+    keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(24, 64))) for _ in range(500)]
+    assert [k for k in keys if secret_scan.random_spans(f"the key {k} leaked", encoder) != [("random", 8, 8 + len(k))]] == []
+    for benign in ("HttpRequestHandlerFactoryImpl", "MAX_CONNECTION_TIMEOUT_SECONDS", "aaaaaaaaaaaaaaaaaaaaaaaa", "--------------------------", "2024-01-02-03-04-05-06"):
+        assert secret_scan.random_spans(f"see {benign} there", encoder) == []
+
+
 def plain_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
