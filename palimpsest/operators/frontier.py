@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,15 +46,16 @@ def content_dedup(pages: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     return named.withColumn("_p", in_pattern).withColumn("_c", in_copies).withColumn("kept", kept).drop("_p", "_c")
 
 
-def crawl(links: DataFrame, entry: DataFrame, *, rounds: int = 30) -> DataFrame:
+def crawl(links: DataFrame, entry: DataFrame) -> DataFrame:
     """(url, depth) of all pages that links (src, dst) lead to from entry (url).
 
     Breadth first: each round's new addresses are what the last round's link to, less those visited. A round
-    is written to the shared folder, so plans don't grow; the loop ends when a round finds nothing.
+    is written to the shared folder, so plans don't grow; the loop ends when a round finds nothing, however
+    deep that is.
     """
     now = written(entry.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited = now
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         reached = now.join(links, now["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
         now = written(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if now.isEmpty():

@@ -134,6 +134,12 @@ def test_findings_and_validation(spark, tmp_path):
     assert {(r.technique, r.verification_status): r.n for r in export.run_summary(spark.createDataFrame([("J", "S"), ("J", "B")], "technique string, verification_status string")).collect()}[(None, None)] == 2
 
 
+def test_crawl_follows_a_long_chain(spark):
+    links = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(34)], "src string, dst string").coalesce(1)
+    got = frontier.crawl(links, spark.createDataFrame([("p0",)], "url string")).collect()
+    assert sorted((r.depth, r.url) for r in got) == [(i, f"p{i}") for i in range(35)]
+
+
 def test_frontier(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     assert {r.url: r.depth for r in frontier.crawl(links, spark.createDataFrame([("a",)], "url string")).collect()} == {"a": 0, "b": 1, "c": 2}
