@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import jaccard
 from palimpsest.llm.common import docs_of, materialize, row_of, with_row
 from palimpsest.llm.graph import components
 
@@ -26,20 +27,9 @@ BUCKET = 64
 
 def fingerprint_of(text: str | None, words: int) -> int:
     """The fingerprint of one text, as a signed number; zero if it has no word."""
-    import xxhash
-
-    parts = (text or "").encode().lower().split()  # of bytes, lower() and split() know ASCII only
-    if not parts:
+    h = jaccard.shingle_hashes(text, words)
+    if not len(h):
         return 0
-    flat, size = b" ".join(parts), len(parts)
-    if size <= words:
-        hashes = [xxhash.xxh64_intdigest(flat, 42)]
-    else:
-        end = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=size) + 1)
-        first = np.concatenate([[0], end[: size - words]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], 42) for a, b in zip(first.tolist(), (end[words - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -136,14 +126,14 @@ def _through_points(dense: DataFrame, distance: int) -> DataFrame:
     return far.join(least, "z").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def linked(prints: DataFrame, *, id_: str = "doc_id", fp: str = "fp", distance: int = 4) -> DataFrame:
+def linked(prints: DataFrame, *, id_: str = "doc_id", fp: str = "fp", distance: int = 4, pairs: DataFrame | None = None) -> DataFrame:
     """prints with component (the least fingerprint that can be reached over links) and component_id (the least id there).
 
-    prints is read several times, so it should be a written table. Null ids don't count for the least id;
+    Links are pairs (u, v) of fp if given, else fingerprints at the distance or less. prints is read several times, so it should be a written table. Null ids don't count for the least id;
     a component of null ids only has none. Equal rows stay; an empty table gives an empty table.
     """
     nodes = materialize(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id_).alias("least_id")), "simhash-nodes")
-    found = components(links(nodes.select("fp"), distance))
+    found = components(links(nodes.select("fp"), distance) if pairs is None else pairs)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("component"))
     rooted = materialize(rooted, "simhash-rooted")
     least = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -151,14 +141,18 @@ def linked(prints: DataFrame, *, id_: str = "doc_id", fp: str = "fp", distance:
     return prints.join(told, fp)
 
 
-def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df of which no earlier row is a near copy: of each component the one of least id.
 
-    Of several rows with that id the one whose text's hash is least stays; a component of null ids
-    keeps the row of least hash. Texts without words are copies of each other.
+    Rows are linked if their sets of shingles have a Jaccard similarity of so much or more; see
+    jaccard.py, as SimHash can't reach that far. Of several rows with that id the one whose text's hash
+    is least stays; a component of null ids keeps the row of least hash. Texts without words are
+    copies of each other.
     """
-    prints = materialize(fingerprints(df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text")), words=words), "simhash-docs")
-    known = linked(prints, id_="id", distance=distance).where(F.col("id").eqNullSafe(F.col("component_id")))
+    docs = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    sets = materialize(jaccard.prefixes(docs, words, similarity), "near-prefixes")
+    pairs = jaccard.similar(docs.select("h", "text"), sets, words, similarity)
+    known = linked(sets.select("id", "h", "fp"), id_="id", pairs=pairs).where(F.col("id").eqNullSafe(F.col("component_id")))
     first = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
     rows = df.select(row_of(df.columns).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).alias("d")
     keep = rows.join(first.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")), "left_semi")

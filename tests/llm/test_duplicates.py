@@ -77,6 +77,48 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert simhash.near_dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+def shingles(text, n=5):
+    words = text.split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) > n else {tuple(words)}
+
+
+def plain_near(texts, similarity):
+    """The first of each group of texts that are linked by the Jaccard similarity of their shingles."""
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    return [i for i in range(len(texts)) if root(i) == i]
+
+
+def test_near_dedup_reaches_the_similarity(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    license_ = some(30)
+    texts = []
+    for k in range(40):
+        base = some(rng.choice([3, 8, 30, 80, 200])) + (license_ if k % 3 == 0 else [])
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 35))):
+                copy[at] = f"edit{rng.randrange(9999)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    likely = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in itertools.combinations(texts, 2)]
+    assert sum(0.8 <= s < 0.9 for s in likely) > 5 and sum(0.6 <= s < 0.8 for s in likely) > 5
+    for similarity in (0.8, 0.6):
+        got = sorted(r.doc_id for r in simhash.near_dedup(docs(spark, texts), similarity=similarity).collect())
+        assert got == plain_near(texts, similarity)
+
+
 def plain_lines(rows, words):
     """rows in order; a line goes if it lies in a run of so many words that equals an earlier one."""
     first, out = {}, []
