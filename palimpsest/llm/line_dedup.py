@@ -1,12 +1,11 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of whole windows of lines.
 
 A passage is a run of consecutive lines with WORDS words or more. Every passage has a shortest
-window from its first line on and one up to its last line; of each such window the line of least
-hash is selected. A passage that is found again selects the same lines there, so the selected
-lines are fingerprints that no repeated passage can do without. Positions are joined on them and on
-the hash of the whole window, to which a match extends both ways; a window that also stands at an
-earlier position is deleted. The windows of a repeated passage cover it, so a line goes just if it
-lies in a passage that equals an earlier one.
+window from its first line on and one up to its last line. All these windows are kept and joined on
+the hash of all their lines; the least line hash beside it selects nothing, as it follows from the
+lines. A window that also stands at an earlier position is deleted. The windows of a repeated passage
+cover it, so a line goes just if it lies in a passage that equals an earlier one, without extending
+matches. This replaces winnowing, whose selected positions would have to be verified and extended.
 """
 
 from __future__ import annotations
