@@ -2,7 +2,8 @@
 
 A fingerprint keeps every hash of a word shingle that lies below a fixed fraction of the hash
 range. So its size follows the document's, two fingerprints can be compared however unequal their
-documents are, and the fingerprint of a union is the union of the fingerprints.
+documents are, and the fingerprint of a union is the union of the fingerprints. A text of which no
+hash is kept has its least hash instead, which can't be compared with kept ones.
 """
 
 from __future__ import annotations
@@ -39,15 +40,27 @@ def with_sketch(df: DataFrame, text: str, out: str, *, words: int = WORDS, part:
     return kept.select(*rest, F.when((F.size(k) == 0) & F.col(m).isNotNull(), F.array(m)).otherwise(F.col(k)).alias(out))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two documents together."""
-    return F.sort_array(F.array_union(a, b))
+def _stands_in(sketch: Column, part: int) -> Column:
+    """Whether a sketch is only the least hash of a text of which no hash is kept."""
+    return (F.size(sketch) == 1) & (F.element_at(sketch, 1) > F.lit(-(2**63) + 2**64 // part - 1))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The estimated share of the lesser document's shingles that the other has; 1 for two empty sketches, 0 for one."""
+def merged(a: Column, b: Column, *, part: int = PART) -> Column:
+    """The sketch of the shingles of two documents together."""
+    both = F.sort_array(F.array_union(a, b))
+    one, two = _stands_in(a, part), _stands_in(b, part)
+    # A least hash gives way to kept ones, and of two only the lesser stays.
+    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (one | two), F.when(one & two, F.slice(both, 1, 1)).when(one, b).otherwise(a)).otherwise(both)
+
+
+def likeness(a: Column, b: Column, *, part: int = PART) -> Column:
+    """The estimated share of the lesser document's shingles that the other has; 1 for equal sketches, 0 if just one is empty.
+
+    Null, which is unknown, if the two differ and either has only the least hash to stand in for its text.
+    """
     least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    known = F.when(a == b, 1.0).when(least == 0, 0.0)
+    return known.when(_stands_in(a, part) | _stands_in(b, part), F.lit(None).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
 def as_text(sketch: Column) -> Column:

@@ -214,6 +214,20 @@ def test_fingerprint_and_next(spark):
     assert [round(r[0], 6) for r in both.select(fingerprint.likeness(F.col("ka"), F.col("kb"))).collect()] == [0.5, 1.0, 0.0]
 
 
+def test_sketches_without_kept_hashes(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([6, 7, 8, 9, 6, 7, 8, 9, 60, 60])]
+    pairs = [(a, f"{a} {b}") for a in texts for b in texts]  # the second text has every shingle of the first
+    made = spark.createDataFrame(pairs, "a string, b string")
+    for name in "ab":
+        made = fingerprint.with_sketch(made, name, f"k{name}")
+    rows = made.select("ka", "kb", fingerprint.likeness(F.col("ka"), F.col("kb")).alias("l"), fingerprint.merged(F.col("ka"), F.col("kb")).alias("m")).collect()
+    limit = -(2**63) + 2**64 // fingerprint.PART - 1
+    alone = [r for r in rows if r.ka[0] > limit]
+    assert alone and len(alone) < len(rows) and any(r.kb[0] > limit for r in alone) and any(r.kb[0] <= limit for r in alone)
+    assert all(r.m == r.kb for r in rows)
+    assert all(r.l == (None if r in alone and r.ka != r.kb else 1.0) for r in rows)
+
+
 def test_next_of_odd_tables(spark):
     one = lambda ids: sorted((r.doc_id or -1, r.next.text) for r in fingerprint.with_next(docs(spark, [f"t{i}" for i in range(len(ids))], ids).select("doc_id", "text"), ["text"]).collect())
     assert one([7]) == [(7, "t0")]
