@@ -1,15 +1,19 @@
-"""Line dedup by hashes of whole windows of lines.
-
-A passage is a run of consecutive lines with WORDS words or more. Every passage has a shortest
-window from its first line on and one up to its last line. All these windows are kept and joined on
-the hash of all their lines; the least line hash beside it selects nothing, as it follows from the
-lines. A window that also stands at an earlier position is deleted. The windows of a repeated passage
-cover it, so a line goes just if it lies in a passage that equals an earlier one, without extending
-matches. This replaces winnowing, whose selected positions would have to be verified and extended.
+"""Line dedup by winnowing over the hashes of lines.
+
+A passage is a run of consecutive lines with WORDS words or more. From each line on the shortest
+passage is a window; the line of least hash in it is selected, and its hash is the window's fingerprint.
+Equal passages hold equal windows, so they select equal lines: the selected positions, about one for
+several short lines, are joined on their fingerprints, and those that are alone go no further. Around
+the others the match is extended both ways: a position has the hashes of the stretches about it, the
+windows it is the least of and these windows up to each line at which a passage that starts with them
+can end. A stretch that also stands at an earlier position is deleted. Stretches cover every repeated
+passage from its first to its last line, so a line goes just if it lies in a passage that equals an
+earlier one.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,65 +28,82 @@ from palimpsest.llm.common import docs_of, materialize
 WORDS = 50
 
 
-def windows_of(text: str, words: int = WORDS) -> list[tuple[int, bytes, int, int]]:
-    """(fingerprint, hash of all lines, first line, last line) of the shortest windows from and up to each line."""
+def prints_of(text: str, words: int = WORDS) -> list[tuple[int, list[tuple[bytes, int, int]]]]:
+    """For each selected line its hash, and the stretches about it as (hash of all lines, first line, last line)."""
     import xxhash
 
     lines = text.encode().split(b"\n")
     upto = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
     if upto[-1] < words:
         return []
-    n = len(lines)
     ends = np.searchsorted(upto, upto[:-1] + words)  # the first end that takes in enough words from each line on
     starts = np.searchsorted(upto, upto[1:] - words, side="right") - 1  # the last start that does up to each line
-    spans = {(i, int(e) - 1) for i, e in enumerate(ends) if e <= n} | {(int(s), j) for j, s in enumerate(starts) if s >= 0}
+    ends = ends[ends <= len(lines)].tolist()
     digests = [xxhash.xxh3_64_digest(x) for x in lines]
     number = [int.from_bytes(d, "little", signed=True) for d in digests]
+    least: list[int] = []  # of each window, the leftmost if hashes are equal
+    rising: deque[int] = deque()
+    line = 0
+    for first, end in enumerate(ends):
+        while line < end:
+            while rising and number[rising[-1]] > number[line]:
+                rising.pop()
+            rising.append(line)
+            line += 1
+        while rising[0] < first:
+            rising.popleft()
+        least.append(rising[0])
+    stretches = {(i, e - 1) for i, e in enumerate(ends)} | {(s, j) for j, s in enumerate(starts.tolist()) if s >= 0}
     flat = b"".join(digests)
-    out = []
-    for i, j in spans:
-        least = number[i] if i == j else min(number[i : j + 1])
-        out.append((least, xxhash.xxh3_128_digest(flat[8 * i : 8 * j + 8]), i, j))
-    return out
+    about: dict[int, list[tuple[bytes, int, int]]] = {}
+    for i, j in stretches:
+        about.setdefault(least[i], []).append((xxhash.xxh3_128_digest(flat[8 * i : 8 * j + 8]), i, j))
+    return [(number[p], found) for p, found in about.items()]
 
 
-def _windows(docs: DataFrame, words: int) -> DataFrame:
-    """(id, h, print, all, first, last) of the windows of docs (id, h, text)."""
+def _prints(docs: DataFrame, words: int) -> DataFrame:
+    """(id, h, print, stretches) of the selected lines of docs (id, h, text)."""
+    stretch = pa.struct([("all", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [windows_of(t, words) if t else [] for t in texts]
-            row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-            flat = [w for f in found for w in f]
-            cols = list(zip(*flat, strict=True)) if flat else [(), (), (), ()]
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(pa.array(row, pa.int64())) for c in ("id", "h")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                ["id", "h", "print", "all", "first", "last"],
-            )
+            found = [prints_of(t, words) if t else [] for t in batch.column("text").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+            flat = [p for f in found for p in f]
+            each = [s for _, about in flat for s in about]
+            cols = list(zip(*each, strict=True)) if each else [(), (), ()]
+            parts = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, stretch, strict=True)], fields=list(stretch))
+            offsets = pa.array(np.cumsum([0, *(len(about) for _, about in flat)]), pa.int32())
+            made = [pa.array([p for p, _ in flat], pa.int64()), pa.ListArray.from_arrays(offsets, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in ("id", "h")] + made, ["id", "h", "print", "stretches"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h bigint, print bigint, all binary, first int, last int")
+    return docs.mapInArrow(run, f"id {kind}, h bigint, print bigint, stretches array<struct<all:binary,first:int,last:int>>")
 
 
 def line_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """df with its texts cut, and columns n_lines and n_removed (both bigint) of each text's lines.
 
-    Earlier is: of lesser id, null ids last, then of lesser text hash, then of lesser line. Rows of one
-    id and text are one document: neither is earlier, and they are cut alike. Null texts stay null and
-    count no lines; an empty text is one line; a text may become empty. Lines are parted by U+000A and
-    compared byte by byte. Other columns stay, ones named n_lines and n_removed are replaced.
+    Earlier is: of lesser id, null ids last, then of lesser text hash, then of lesser line; a passage
+    isn't earlier than one that it overlaps, so the first copy in a run of equal lines stays whole.
+    Rows of one id and text are one document: neither is earlier, and they are cut alike. Null texts
+    stay null and count no lines; an empty text is one line; a text may become empty. Lines are parted
+    by U+000A and compared byte by byte. Other columns stay, ones named n_lines and n_removed are replaced.
     """
     docs = df.select(F.col(id_).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    found = materialize(_windows(docs, words), "line-windows")
+    selected = materialize(_prints(docs, words), "line-prints")
+    # What is joined with is written first, so that Spark can split a key that very many rows have.
+    common = materialize(selected.groupBy("print").count().where("count > 1").select("print"), "line-prints-common")
+    met = materialize(selected.join(common, "print").select("id", "h", "print", F.inline("stretches")), "line-stretches")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "first")
-    again = found.groupBy("print", "all").agg(F.min(place).alias("place"), F.max(place).alias("final")).where("place <> final").select("print", "all", "place")
-    later = found.join(again, ["print", "all"]).where(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("first")) > F.col("place"))
+    again = met.groupBy("print", "all").agg(F.min(place).alias("place"), F.max(place).alias("final")).where("place <> final").select("print", "all", "place")
+    both = met.join(materialize(again, "line-stretches-again"), ["print", "all"])
+    apart = F.struct("place.none", "place.id", "place.h") != F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    later = both.where((place > F.col("place")) & (apart | (F.expr("place.first + last - first") < F.col("first"))))
     cut = later.select("id", "h", "first", "last").distinct().groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("cut"))
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).alias("d")
-    both = rows.join(cut.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.h") == F.col("c.h")), "left").select("row", "cut")
+    cuts = rows.join(cut.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.h") == F.col("c.h")), "left").select("row", "cut")
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +122,7 @@ def line_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(many, pa.int64()), pa.array(gone, pa.int64())], [f"c{i}" for i in range(len(rest) + 2)])
 
     kinds = [f.dataType for f in rows.schema["row"].dataType] + [LongType(), LongType()]
-    done = both.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    done = cuts.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
     return done.toDF(*rest, "n_lines", "n_removed")
 
 

@@ -120,7 +120,7 @@ def test_near_dedup_reaches_the_similarity(spark):
 
 
 def plain_lines(rows, words):
-    """rows in order; a line goes if it lies in a run of so many words that equals an earlier one."""
+    """rows in order; a line goes if it lies in a run of so many words that equals an earlier one that it doesn't overlap."""
     first, out = {}, []
     for mark in (False, True):
         for d, (_, text) in enumerate(rows):
@@ -132,7 +132,7 @@ def plain_lines(rows, words):
                     if sum(len(x.encode().split()) for x in run) >= words:
                         if not mark:
                             first.setdefault(run, (d, a))
-                        elif first[run] < (d, a):
+                        elif first[run][0] < d or first[run][1] + b - a <= a:
                             gone |= set(range(a, b))
             if mark:
                 out.append(None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
@@ -153,6 +153,22 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_selected_lines_are_few_and_shared():
+    rng = random.Random(15)
+    some = lambda n: [" ".join(rng.choice("abcdefgh") * 3 for _ in range(8)) for _ in range(n)]
+    common = some(12)
+    first, other = "\n".join(some(200) + common + some(3)), "\n".join(common + some(200))
+    one, two = line_dedup.prints_of(first), line_dedup.prints_of(other)
+    assert len(one) < 0.4 * 215 and len({p for p, _ in one} & {p for p, _ in two}) >= 1
+    assert len({h for _, about in one for h, *_ in about} & {h for _, about in two for h, *_ in about}) >= 6  # the windows of the passage
+    assert line_dedup.prints_of("x " * 49) == [] and len(line_dedup.prints_of("x " * 50)) == 1
+
+
+def test_first_copy_of_equal_lines_stays(spark):
+    text = "\n".join(["x " * 20] * 4), "\n".join(["y " * 20] * 7)
+    assert [r.n_removed for r in line_dedup.line_dedup(docs(spark, text)).orderBy("doc_id").collect()] == [0, 4]
+
+
 def plain_bytes(texts, span):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[s : s + span] for r in raws for s in range(len(r) - span + 1))
