@@ -2,8 +2,10 @@
 
 A fingerprint keeps every hash of a word shingle that lies below a fixed fraction of the hash
 range. So its size follows the document's, two fingerprints can be compared however unequal their
-documents are, and the fingerprint of a union is the union of the fingerprints. A text of which no
-hash is kept has its least hash instead, which can't be compared with kept ones.
+documents are, and the fingerprint of a union follows from the fingerprints. A text of which fewer than
+LEAST hashes lie there keeps its LEAST least ones instead (all that it has, if they are fewer). So every
+fingerprint holds all hashes of its text up to a bound of its own, which short texts have high, and two
+are compared up to the lower bound.
 """
 
 from __future__ import annotations
@@ -16,55 +18,60 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.common import docs_of, fresh, partitions
 
-#: Words of a shingle, and the fraction of all hashes that is kept, as one part in so many.
-WORDS, PART = 5, 8
+#: Words of a shingle, the fraction of all hashes that is kept, as one part in so many, and the hashes kept at least.
+WORDS, PART, LEAST = 5, 8, 16
+
+
+def _limit(part: int) -> int:
+    """The greatest hash that lies in the kept fraction."""
+    return -(2**63) + 2**64 // part - 1
 
 
 def with_sketch(df: DataFrame, text: str, out: str, *, words: int = WORDS, part: int = PART) -> DataFrame:
     """df with a column out: the ascending distinct hashes kept of a text, array<bigint>.
 
     A shingle is so many consecutive words (parted by U+0020 and U+0009 to U+000D), or all words of a
-    shorter text. If no hash is kept the least is, so just texts without words (null and empty ones
-    among them) have an empty sketch. Other columns stay, one named out is replaced.
+    shorter text. Just texts without words (null and empty ones among them) have an empty sketch.
+    Other columns stay, one named out is replaced.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c != out]
-    h, s, m, k = (fresh(df.columns, name) for name in ("_hashes", "_shingles", "_least", "_kept"))
-    most = -(2**63) + 2**64 // part - 1
+    h, s, k = (fresh(df.columns, name) for name in ("_hashes", "_shingles", "_kept"))
     hashed = df.select(*rest, F.expr(f"transform(filter(split(coalesce(`{text}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), w -> xxhash64(w))").alias(h))
     # The hashes are used more than once, so Catalyst doesn't move their making into the lambda.
     shingled = hashed.select(
         *rest,
         F.expr(f"CASE WHEN size({h}) >= {words} THEN transform(sequence(1, size({h}) - {words - 1}), i -> xxhash64(slice({h}, i, {words}))) WHEN size({h}) > 0 THEN array(xxhash64({h})) ELSE array() END").alias(s),
     )
-    kept = shingled.select(*rest, F.array_min(s).alias(m), F.expr(f"sort_array(array_distinct(filter({s}, x -> x <= {most}L)))").alias(k))
-    return kept.select(*rest, F.when((F.size(k) == 0) & F.col(m).isNotNull(), F.array(m)).otherwise(F.col(k)).alias(out))
-
-
-def _stands_in(sketch: Column, part: int) -> Column:
-    """Whether a sketch is only the least hash of a text of which no hash is kept."""
-    return (F.size(sketch) == 1) & (F.element_at(sketch, 1) > F.lit(-(2**63) + 2**64 // part - 1))
+    kept = shingled.select(*rest, s, F.expr(f"sort_array(array_distinct(filter({s}, x -> x <= {_limit(part)}L)))").alias(k))
+    return kept.select(*rest, F.when(F.size(k) >= LEAST, F.col(k)).otherwise(F.slice(F.sort_array(F.array_distinct(s)), 1, LEAST)).alias(out))
 
 
 def merged(a: Column, b: Column, *, part: int = PART) -> Column:
-    """The sketch of the shingles of two documents together."""
+    """The sketch of the shingles of two documents together, exactly; null if either is."""
     both = F.sort_array(F.array_union(a, b))
-    one, two = _stands_in(a, part), _stands_in(b, part)
-    # A least hash gives way to kept ones, and of two only the lesser stays.
-    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (one | two), F.when(one & two, F.slice(both, 1, 1)).when(one, b).otherwise(a)).otherwise(both)
+    kept = F.filter(both, lambda x: x <= _limit(part))
+    return F.when(F.size(kept) >= LEAST, kept).otherwise(F.slice(both, 1, LEAST))
+
+
+def _bound(sketch: Column, part: int) -> Column:
+    """Up to where a sketch holds all hashes of its text."""
+    return F.when(F.size(sketch) < LEAST, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_limit(part)), F.element_at(sketch, -1)))
 
 
 def likeness(a: Column, b: Column, *, part: int = PART) -> Column:
     """The estimated share of the lesser document's shingles that the other has; 1 for equal sketches, 0 if just one is empty.
 
-    Null, which is unknown, if the two differ and either has only the least hash to stand in for its text.
+    Null, which is unknown, if the two differ and either has no hash up to the lower bound: a text of few
+    shingles beside a long one.
     """
-    least = F.least(F.size(a), F.size(b))
-    known = F.when(a == b, 1.0).when(least == 0, 0.0)
-    return known.when(_stands_in(a, part) | _stands_in(b, part), F.lit(None).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / least)
+    bound = F.least(_bound(a, part), _bound(b, part))
+    x, y = F.filter(a, lambda v: v <= bound), F.filter(b, lambda v: v <= bound)
+    known = F.when(a == b, 1.0).when(F.least(F.size(a), F.size(b)) == 0, 0.0)
+    return known.otherwise(F.try_divide(F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y))))
 
 
 def as_text(sketch: Column) -> Column:
-    """A sketch as a string of 16 hexadecimal digits a hash."""
+    """A sketch as a string of 16 hexadecimal digits a hash; '' if it is empty, null for null."""
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
@@ -110,7 +117,7 @@ def with_next(df: DataFrame, payload: list[str], *, id_: str = "doc_id", out: st
 
 
 def edited(text: Column, following: Column) -> Column:
-    """A text whose last half, rounded down, is replaced by as much as there is of the start of the following."""
+    """A text whose last half, rounded down, is replaced by as much as there is of the start of the following; null if either is."""
     half = F.floor(F.length(text) / 2).cast("int")
     return F.concat(text.substr(F.lit(1), F.length(text) - half), following.substr(F.lit(1), half))
 
@@ -121,12 +128,14 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = with_next(with_sketch(docs, "text", "sketch"), ["text", "sketch"])
     changed = led.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next.text")).alias("edited"))
     both = with_sketch(changed, "edited", "edited_sketch")
+    near = {"edited": likeness(F.col("sketch"), F.col("edited_sketch")), "next": likeness(F.col("sketch"), F.col("next_sketch"))}
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        # No hash in common is known of unknown ones; the flags tell them from known zeros.
+        *[F.coalesce(x, F.lit(0.0)).alias(f"near_{k}") for k, x in near.items()],
+        *[x.isNotNull().alias(f"known_{k}") for k, x in near.items()],
     )

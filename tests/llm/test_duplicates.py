@@ -230,18 +230,42 @@ def test_fingerprint_and_next(spark):
     assert [round(r[0], 6) for r in both.select(fingerprint.likeness(F.col("ka"), F.col("kb"))).collect()] == [0.5, 1.0, 0.0]
 
 
-def test_sketches_without_kept_hashes(spark):
-    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([6, 7, 8, 9, 6, 7, 8, 9, 60, 60])]
-    pairs = [(a, f"{a} {b}") for a in texts for b in texts]  # the second text has every shingle of the first
-    made = spark.createDataFrame(pairs, "a string, b string")
+def test_sketches_merge_and_compare_up_to_a_bound(spark):
+    texts = ["", "one two", *[" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([6, 9, 19, 20, 21, 40, 70, 300, 900])]]
+    texts.append(texts[-1].partition("x450")[0] + " tail " + texts[4])
+    made = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     for name in "ab":
-        made = fingerprint.with_sketch(made, name, f"k{name}")
-    rows = made.select("ka", "kb", fingerprint.likeness(F.col("ka"), F.col("kb")).alias("l"), fingerprint.merged(F.col("ka"), F.col("kb")).alias("m")).collect()
+        made = fingerprint.with_sketch(fingerprint.with_sketch(made, name, f"k{name}"), name, f"all_{name}", part=1)
+    rows = made.select("*", fingerprint.likeness(F.col("ka"), F.col("kb")).alias("l"), fingerprint.merged(F.col("ka"), F.col("kb")).alias("m"), fingerprint.as_text(F.col("ka")).alias("t")).collect()
     limit = -(2**63) + 2**64 // fingerprint.PART - 1
-    alone = [r for r in rows if r.ka[0] > limit]
-    assert alone and len(alone) < len(rows) and any(r.kb[0] > limit for r in alone) and any(r.kb[0] <= limit for r in alone)
-    assert all(r.m == r.kb for r in rows)
-    assert all(r.l == (None if r in alone and r.ka != r.kb else 1.0) for r in rows)
+
+    def sketch(hashes):
+        low = sorted(h for h in hashes if h <= limit)
+        return low if len(low) >= 16 else sorted(hashes)[:16]
+
+    for r in rows:
+        a, b = set(r.all_a), set(r.all_b)
+        assert r.ka == sketch(a) and r.m == sketch(a | b)
+        assert r.t == "".join(f"{x % 2**64:016x}" for x in r.ka)
+        if a == b:
+            assert r.l == 1
+        elif not a or not b:
+            assert r.l == 0
+        elif max(len(a), len(b)) < 16:
+            assert r.l == len(a & b) / min(len(a), len(b))
+        else:
+            assert r.l is None or 0 <= r.l <= 1
+            assert r.l is not None or min(len(a), len(b)) < 100
+            assert not a <= b or r.l in (None, 1)
+    (long,) = [r for r in rows if r.a == texts[-2] and r.b == texts[-1]]
+    a, b = set(long.all_a), set(long.all_b)
+    assert 0 < long.l < 1 and abs(long.l - len(a & b) / min(len(a), len(b))) < 0.1
+
+
+def test_edited_texts(spark):
+    pairs = [("abcdef", "xyz1234"), ("abcde", "x"), ("", "x"), ("a", "xy"), ("é🙂éé", "漢字漢"), (None, "x"), ("x", None)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(fingerprint.edited(F.col("a"), F.col("b"))).collect()]
+    assert got == [None if a is None or b is None else a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in pairs]
 
 
 def test_next_of_odd_tables(spark):
