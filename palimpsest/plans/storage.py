@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset and all runs on this machine (tests)."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     return sc.getCheckpointDir().rstrip("/")
 
