@@ -162,10 +162,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text
     return fit_rules(data[:, 1:], data[:, 0], list(columns))
 
 
-def score_quality(docs: DataFrame, model: RuleModel, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The other columns of docs, score and predicted. Null and empty texts are scored by their zero statistics."""
-    rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
-    stats = text_stats(docs.select(row_of(rest).alias("row_"), text), text=text)
+def score_quality(docs: DataFrame, model: RuleModel, *, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
+    """The other columns of docs (and the text, if it is kept), score and predicted. Null and empty texts are scored by their zero statistics."""
+    rest = [c for c in docs.columns if (keep_text or c != text) and c not in ("score", "predicted")]
+    if keep_text:  # it goes to Python and back once, within the row
+        named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+        stats = text_stats(named, text=f"c{rest.index(text)}", keep_text=True).withColumn("row_", F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]))
+    else:
+        stats = text_stats(docs.select(row_of(rest).alias("row_"), text), text=text)
     columns = features()
     named = stats.select("row_", *[c.alias(f"f_{k}") for k, c in columns.items()])
     out = named.select("row_", model.score({k: F.col(f"f_{k}") for k in columns}).alias("score"))

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from palimpsest.plans.storage import shared_dir
+
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and the copy outlives executors."""
     spark = df.sparkSession
@@ -42,6 +35,17 @@ def with_row(work: DataFrame, rest: str) -> StructType:
     return StructType([StructField("row", work.schema["row"].dataType), *StructType.fromDDL(rest).fields])
 
 
+#: Rows of a batch that an operator turns into Python objects at a time; a bound of memory, not of results.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces, which share the batches' memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A name that no column has."""
     while name in columns:

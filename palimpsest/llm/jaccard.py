@@ -1,10 +1,17 @@
-"""Pairs of texts whose sets of word shingles are alike, exactly, by prefix filtering.
+"""Links between texts whose sets of word shingles are alike, exactly, by prefix filtering.
 
-Put every set into one order of all shingles. Two sets of a Jaccard similarity of t or more share a
-shingle among the first n - ceil(t * n) + 1 of each, n being the set's own size. So sets are joined on
+Put every set into one order of all shingles. If two sets have a Jaccard similarity of t or more, the
+first shingle that both have is among the first n - ceil(t * n) + 1 of the larger set and among the first
+n - ceil(2 * t / (1 + t) * n) + 1 of the lesser, n being the set's own size. So sets are joined on
 these prefixes, pairs whose sizes or places rule the similarity out are dropped, and the whole
 sets of the rest are compared. Any order gives the same pairs; shingles that many texts have come last,
 so that few texts meet under one.
+
+Sets that are crowded under one shingle aren't paired out at once. They are compared with one of them,
+the pivot, and what is alike is linked to it; such sets need no links among each other. One minus the
+similarity is a metric, so whatever lies nearer to the pivot than all sets that aren't alike do, by more
+than 1 - t, can't be linked to any of those and is done with. The others go on with another pivot. What
+no pivot has linked is compared with the crowd in pairs at last.
 """
 
 from __future__ import annotations
@@ -13,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, sliced, union_all
 
 #: Texts looked at for common shingles, the texts among them that make one common, and how many come to the driver at most.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
+#: Sets under one shingle from which they count as a crowd, and pivots that a crowd is compared with before the rest is paired out.
+CROWD, PIVOTS = 32, 12
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -54,7 +63,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     part = docs.select("text").sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [_set(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, "<u8"), *sets]).view("<i8"))], ["k"])
 
@@ -71,7 +80,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         import xxhash
 
         last = common.value
-        for batch in batches:
+        for batch in sliced(batches):
             prints, sizes, heads = [], [], []
             for t in batch.column("text").to_pylist():
                 s = _set(t, words)
@@ -88,30 +97,87 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, h bigint, fp bigint, n int, head array<bigint>")
 
 
-def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of the fp of sets, as written by prefixes(), that are alike; texts are (h, text).
+def _with_similarity(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """pairs (u, v, and what else) with alike, the Jaccard similarity of their sets."""
+    both = pairs.join(whole.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    counted = both.select(*pairs.columns, shared.alias("_shared"), (F.size("a") + F.size("b")).alias("_both"))
+    return counted.select(*pairs.columns, F.coalesce(F.try_divide(F.col("_shared"), F.col("_both") - F.col("_shared")), F.lit(1.0)).alias("alike"))
 
-    Equal sets have one fp and are no pair. Texts that meet under a common shingle are compared in
-    pairs, so a crowd of texts that are mostly made of common shingles costs its square.
-    """
-    heads = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("head").alias("head")).select("fp", "n", F.posexplode("head").alias("at", "k"))
-    x, y = heads.alias("x"), heads.alias("y")
-    share = similarity / (1 + similarity)
-    near = (F.col("x.k") == F.col("y.k")) & (F.col("x.fp") < F.col("y.fp"))
-    near &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    # At the first shingle that both have, what follows it in either set bounds what they share.
-    near &= F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= share * F.expr("x.n + y.n") - 1e-9
-    pairs = materialize(x.join(y, near).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct(), "near-candidates")
+
+def _sets(texts: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(fp, s): the whole sets of wanted (fp), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = _lists([_set(t, words) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("fp"), made], ["fp", "s"])
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    one = sets.select("fp", "h").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
-    whole = texts.join(one, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(run, "fp bigint, s array<bigint>")
-    whole = materialize(whole, "near-sets")
-    both = pairs.join(whole.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= share * (F.size("a") + F.size("b")) - 1e-9).select("u", "v")
+    # By id and text, so that the many copies of one text don't meet in one task.
+    i = F.xxhash64("id").alias("i")
+    one = sets.select("fp", "h", i).join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("h", "i")).alias("one")).select("fp", "one.*")
+    found = texts.select("h", i, "text").join(one, ["h", "i"]).dropDuplicates(["h", "i"])
+    whole = found.select("fp", "text").mapInArrow(run, "fp bigint, s array<bigint>")
+    return materialize(whole, "near-sets")
+
+
+def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of the fp of sets, as written by prefixes() from texts (id, h, text), that are alike.
+
+    Every two sets that are alike are in one component of these links. Equal sets have one fp and
+    are no pair. A crowd under one shingle costs a comparison with each pivot; what PIVOTS of them haven't
+    linked or ruled out, sets that are neither alike nor far apart, is compared with the rest in pairs.
+    """
+    once = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("head").alias("head")), "near-heads")
+    heads = once.select("fp", "n", F.posexplode("head").alias("at", "k"))
+    share = similarity / (1 + similarity)
+    # Whether the place lies in the prefix that a set has as the lesser one of two.
+    heads = heads.withColumn("lesser", F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9))
+    # With few lesser ones under a shingle, pairs are so many times the sets there at most.
+    hot = materialize(heads.where("lesser").groupBy("k").count().where(F.col("count") > CROWD).select("k"), "near-crowds")
+
+    def paired(rows: DataFrame, more: Column | None = None) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        near = (F.col("x.k") == F.col("y.k")) & F.col("x.lesser") & (F.struct("x.n", "x.fp") < F.struct("y.n", "y.fp"))
+        near &= F.col("x.n") >= similarity * F.col("y.n") - 1e-9
+        # At the first shingle that both have, what follows it in either set bounds what they share.
+        near &= F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= share * F.expr("x.n + y.n") - 1e-9
+        return x.join(y, near if more is None else near & more).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return _with_similarity(pairs, whole).where(F.col("alike") >= similarity - 1e-9).select("u", "v")
+
+    if hot.isEmpty():
+        pairs = materialize(paired(heads), "near-candidates")
+        whole = _sets(texts, sets, pairs.select(F.explode(F.array("u", "v")).alias("fp")), words)
+        return alike(pairs)
+    pairs = materialize(paired(heads.join(hot, "k", "left_anti")), "near-candidates")
+    # What lies under many of these shingles is like many sets, and a good pivot. A set's pivot is the first that linked it.
+    crowded = materialize(heads.join(hot, "k", "left_semi"), "near-crowded")
+    central = crowded.groupBy("fp").agg(F.count("*").alias("central"))
+    crowded = materialize(crowded.join(central, "fp").withColumn("pivot", F.lit(None).cast("bigint")), "near-crowded")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(crowded.select("fp"))
+    whole = _sets(texts, sets, wanted, words)
+    found = [alike(pairs)]
+    for _ in range(PIVOTS):
+        free = crowded.where("pivot is null")
+        best = F.max_by("fp", F.struct("central", F.xxhash64("fp")))
+        pivots = materialize(free.groupBy("k").agg(F.count("*").alias("many"), best.alias("v")).where(F.col("many") > CROWD).select("k", "v"), "near-pivots")
+        if pivots.isEmpty():
+            break
+        told = materialize(crowded.join(pivots, "k").select("k", F.col("fp").alias("u"), "v"), "near-pivoted")
+        compared = materialize(_with_similarity(told.select("u", "v").distinct(), whole), "near-alike")
+        near = F.col("alike") >= similarity - 1e-9
+        found.append(compared.where(near & (F.col("u") != F.col("v"))).select("u", "v"))
+        told = materialize(told.join(compared, ["u", "v"]), "near-told")
+        # The greatest similarity to the pivot of those that aren't alike to it; null if there are none.
+        outer = materialize(told.groupBy("k").agg(F.max(F.when(~near, F.col("alike"))).alias("next")), "near-outer")
+        stays = (F.col("u") != F.col("v")) & (~near | (F.col("alike") - (1 - similarity) <= F.col("next") + 1e-9))
+        rest = told.join(outer, "k").where(stays).select("k", F.col("u").alias("fp"), F.when(near, F.col("v")).alias("now"))
+        done = crowded.join(pivots.select("k"), "k", "left_anti")
+        on = crowded.join(rest, ["k", "fp"]).withColumn("pivot", F.coalesce("pivot", "now")).drop("now")
+        crowded = materialize(done.unionByName(on), "near-crowded")
+    # Sets that one pivot has linked are in one component already.
+    parted = ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
+    found.append(alike(materialize(paired(crowded, parted), "near-rest")))
+    return union_all(found)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from palimpsest.llm.common import docs_of, materialize
+from palimpsest.llm.common import docs_of, materialize, sliced
 
 #: Words from which a run of lines counts as a passage.
 WORDS = 50
@@ -66,7 +66,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
     stretch = pa.struct([("all", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [prints_of(t, words) if t else [] for t in batch.column("text").to_pylist()]
             row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
             flat = [p for f in found for p in f]
@@ -107,7 +107,7 @@ def line_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row = batch.column("row")
             texts, many, gone = [], [], []
             for t, spans in zip(row.field(text).to_pylist(), batch.column("cut").to_pylist(), strict=True):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm.bpe import CHUNK, LibraryCodec, _chunks, _vocabulary, codec
-from palimpsest.llm.common import docs_of, materialize, partitions, row_of, with_row
+from palimpsest.llm.common import docs_of, materialize, partitions, row_of, sliced, with_row
 
 #: Tokens of a sequence at most, buckets at most, tokens of a batch (padding included) at most.
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 16, 65_536
@@ -30,7 +30,7 @@ def token_counts(df: DataFrame, path: str, *, text: str = "text", out: str = "n_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value, pattern, LibraryCodec)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             many = [c.encode(texts[a:b])[1] for a, b in _chunks([len(t) for t in texts], CHUNK)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate([np.zeros(0, np.int64), *many]), pa.int64())], ["row", "n"])

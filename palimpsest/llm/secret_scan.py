@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import docs_of, with_row
+from palimpsest.llm.common import docs_of, sliced, with_row
 
 #: Characters a token below which a string counts as random, and the least length of a candidate.
 CHARS_PER_TOKEN, LEAST = 2.2, 20
@@ -115,7 +115,7 @@ def scan_secrets(df: DataFrame, path: str, *, text: str = "text", chars_per_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocab.value)
-        for batch in batches:
+        for batch in sliced(batches):
             row = batch.column("row")
             out = []
             for t in row.field(text).to_pylist():

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard
-from palimpsest.llm.common import docs_of, materialize, row_of, with_row
+from palimpsest.llm.common import docs_of, materialize, row_of, sliced, with_row
 from palimpsest.llm.graph import components
 
 SEGMENTS, BITS = 16, 4
@@ -47,7 +47,7 @@ def fingerprints(df: DataFrame, *, text: str = "text", words: int = 4, out: str
     work = df.select(row_of(rest).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = pa.array([fingerprint_of(t, words) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), made], ["row", "fp"])
 
@@ -151,7 +151,7 @@ def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
     """
     docs = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     sets = materialize(jaccard.prefixes(docs, words, similarity), "near-prefixes")
-    pairs = jaccard.similar(docs.select("h", "text"), sets, words, similarity)
+    pairs = jaccard.similar(docs, sets, words, similarity)
     known = linked(sets.select("id", "h", "fp"), id_="id", pairs=pairs).where(F.col("id").eqNullSafe(F.col("component_id")))
     first = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
     rows = df.select(row_of(df.columns).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).alias("d")

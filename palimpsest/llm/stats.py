@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import row_of, with_row
+from palimpsest.llm.common import row_of, sliced, with_row
 
 #: Words in a window of which a second occurrence counts as repetition.
 WINDOW = 5
@@ -76,18 +76,19 @@ def stats_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def text_stats(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """The other columns of df, and STATS in place of its text column.
+def text_stats(df: DataFrame, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The other columns of df, and STATS in place of its text column (or beside it).
 
     Null and empty texts have zero counts; an empty table gives an empty table; equal rows stay.
     A column named like one of STATS is replaced.
     """
-    keep = [c for c in df.columns if c != text and c not in STATS]
-    work = df.select(row_of(keep).alias("row"), F.col(f"`{text}`").alias("text"))
+    keep = [c for c in df.columns if (keep_text or c != text) and c not in STATS]
+    work = df.select(row_of(keep).alias("row"), *([] if keep_text else [F.col(f"`{text}`").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([stats_of(t) for t in batch.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
+        for batch in sliced(batches):
+            texts = batch.column("row").field(text) if keep_text else batch.column("text")
+            rows = np.array([stats_of(t) for t in texts.to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c) for c in rows.T)], ["row", *STATS])
 
     return work.mapInArrow(run, with_row(work, ", ".join(f"{c} bigint" for c in STATS))).select(*[F.col("row").getField(c).alias(c) for c in keep], *STATS)
