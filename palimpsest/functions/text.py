@@ -40,6 +40,11 @@ def nfkc(text: Column) -> Column:
     return F.when(ascii_only(text), text).otherwise(_arrow(_compatible, F.when(~ascii_only(text), text)))
 
 
+def casefolded(text: Column) -> Column:
+    """Full case folding, as for comparing without regard to case; ASCII texts don't go to Python."""
+    return F.when(ascii_only(text), F.lower(text)).otherwise(_arrow(str.casefold, F.when(~ascii_only(text), text)))
+
+
 def collapse(text: Column) -> Column:
     """White space of any script as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -101,7 +106,8 @@ def inner_digit(text: Column, whole: Column | None = None) -> Column:
 
 def jamo_syllable(text: Column) -> Column:
     """Whether an initial and a vowel stand apart where they could be a syllable."""
-    return text.rlike(f"[{fixed.INITIALS}][{fixed.VOWELS}]|[\u1100-\u1112][\u1161-\u1175]")
+    # Both initials lie in few ranges, which a text without them fails fast.
+    return text.rlike("[\u1100-\u1112\u3131-\u314e]") & text.rlike(f"[{fixed.INITIALS}][{fixed.VOWELS}]|[\u1100-\u1112][\u1161-\u1175]")
 
 
 def _letters(match: re.Match) -> str:
@@ -159,7 +165,7 @@ def decoded_host(host: Column) -> Column:
 
 def skeleton(text: Column) -> Column:
     """A host's label in the ASCII letters that it looks like."""
-    return F.translate(F.lower(nfkc(text)), "".join(fixed.HOST_CONFUSABLES), "".join(fixed.HOST_CONFUSABLES.values()))
+    return F.translate(casefolded(nfkc(text)), "".join(fixed.HOST_CONFUSABLES), "".join(fixed.HOST_CONFUSABLES.values()))
 
 
 def registrable(host: Column) -> Column:

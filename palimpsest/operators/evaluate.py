@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def precision_recall(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """One row: expected, detected, hits, missing, unexpected, precision, recall, f1; ratios without a denominator are 0."""
-    t, f = truth.select(*keys).distinct(), found.select(*keys).distinct()
-    hits = t.join(f, keys, "left_semi")
-    both = t.agg(F.count("*").alias("expected")).join(f.agg(F.count("*").alias("detected"))).join(hits.agg(F.count("*").alias("hits")))
+    marked = truth.select(*keys, F.lit(1).alias("_true"), F.lit(0).alias("_found")).unionByName(found.select(*keys, F.lit(0).alias("_true"), F.lit(1).alias("_found")))
+    cases = marked.groupBy(*keys).agg(F.max("_true").alias("_true"), F.max("_found").alias("_found"))
+    both = cases.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for c, name in (("_true", "expected"), ("_found", "detected"), (F.col("_true") * F.col("_found"), "hits"))])
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     p, r = share(F.col("hits"), F.col("detected")), share(F.col("hits"), F.col("expected"))
     return both.select("*", (F.col("expected") - F.col("hits")).alias("missing"), (F.col("detected") - F.col("hits")).alias("unexpected"), p.alias("precision"), r.alias("recall"), share(2 * p * r, p + r).alias("f1"))
@@ -47,8 +46,9 @@ def slowest(rows: DataFrame, by: str, cost: str, top: int) -> DataFrame:
 
 def choose_workers(runs: DataFrame, *, margin: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Of error-free runs with observations the one with the fewest workers whose speed is within a margin of the best."""
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    valid = runs.where("errors = 0 AND observations > 0").withColumn("best", F.max("pages_per_sec").over(over))
+    valid = runs.where("errors = 0 AND observations > 0")
+    best = valid.groupBy(*(by or [])).agg(F.max("pages_per_sec").alias("best"))
+    valid = valid.join(best, by) if by else valid.join(F.broadcast(best))  # one row
     near = valid.where(F.col("pages_per_sec") >= F.col("best") * (1 - margin))
     return near.groupBy(*(by or [])).agg(F.min_by(F.struct("workers", "pages_per_sec"), F.struct("workers", -F.col("pages_per_sec"))).alias("r")).select(*(by or []), "r.*")
 

@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions import fixed
+from palimpsest.plans.storage import written
 
 
 def _numbered(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """df with a running id in an order; findings are few, so one task numbers them."""
-    return df.withColumn("id", F.format_string(f"{prefix}_%03d", F.row_number().over(Window.orderBy(*order))))
+    """df with a running id in an order.
+
+    Rows are written in ranges of that order, each sorted; a row's number is its place in its file and the
+    rows of the files before. Only a count for each file is gathered, so no task holds all rows.
+    """
+    key = F.struct(*order)
+    stored = written(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order), "numbered")
+    placed = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("_many"), F.min(key).alias("_first"))  # a row for each partition
+    before = F.coalesce(F.sum("_many").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = files.select("_file", before.alias("_before"))
+    number = F.col("_before") + F.col("_row") + 1
+    return placed.join(F.broadcast(offset), "_file").withColumn("id", F.format_string(f"{prefix}_%03d", number)).drop("_file", "_row", "_before")
 
 
 def findings(candidates: DataFrame, *, order: str = "seq") -> DataFrame:

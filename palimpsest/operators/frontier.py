@@ -38,11 +38,14 @@ def content_fingerprint(url: Column, states: Column) -> Column:
 
 
 def content_dedup(pages: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
-    """pages (url, html, seq, partial) with pattern, fingerprint and kept: the first of each pattern always, then what isn't a copy, and whatever was read in part."""
-    named = pages.withColumn("pattern", urls.pattern(F.col("url"))).withColumn("fingerprint", content_fingerprint(F.col("url"), state_digest(F.col("html"))))
+    """pages (url, html, seq, partial) with pattern, fingerprint and kept: the first of each pattern always, then what isn't a copy, and whatever was read in part.
+
+    A page whose html is null has no fingerprint and is kept: nothing is known of what it holds.
+    """
+    named = pages.withColumn("pattern", urls.pattern(F.col("url"))).withColumn("fingerprint", F.when(F.col("html").isNotNull(), content_fingerprint(F.col("url"), state_digest(F.col("html")))))
     in_pattern = F.row_number().over(Window.partitionBy("pattern").orderBy("seq"))
     in_copies = F.row_number().over(Window.partitionBy("pattern", "fingerprint").orderBy("seq"))
-    kept = (F.col("_p") <= samples) | (F.col("_c") == 1) | F.coalesce(F.col("partial"), F.lit(False))
+    kept = (F.col("_p") <= samples) | (F.col("_c") == 1) | F.col("fingerprint").isNull() | F.coalesce(F.col("partial"), F.lit(False))
     return named.withColumn("_p", in_pattern).withColumn("_c", in_copies).withColumn("kept", kept).drop("_p", "_c")
 
 

@@ -6,11 +6,12 @@ the distinct texts' grams with the model and sums, so no model is held by Python
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.sources.observations import NEGATIVE, POSITIVE
+from palimpsest.plans.storage import written
+from palimpsest.sources.observations import NEGATIVE, NEGATIVE_2, POSITIVE, POSITIVE_2
 
 ALPHA, LENGTH_FOR_TRUST, SUPPORT_FOR_TRUST = 0.5, 14.0, 0.35
 
@@ -30,34 +31,61 @@ def fit(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, docs.join(F.broadcast(sums))
 
 
-def seeds(spark: SparkSession) -> DataFrame:
-    """The package's own examples."""
-    return spark.createDataFrame([(t, 1) for t in POSITIVE] + [(t, 0) for t in NEGATIVE], "text string, label int")
+def seeds(spark: SparkSession, corpus: int = 1) -> DataFrame:
+    """The package's own examples: the first corpus, or the second in more languages."""
+    positive, negative = ((POSITIVE, NEGATIVE), (POSITIVE_2, NEGATIVE_2))[corpus - 1]
+    return spark.createDataFrame([(t, 1) for t in positive] + [(t, 0) for t in negative], "text string, label int")
 
 
-def score(texts: DataFrame, model: tuple[DataFrame, DataFrame], *, column: str = "text") -> DataFrame:
-    """(column, probability, support) of the distinct texts: support is the share of known grams.
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Examples in place of the package's own, from JSON lines of text and label; other labels than 0 and 1 and empty texts are left out."""
+    return spark.read.schema("text string, label int").json(path).where("label IN (0, 1) AND trim(text) <> ''")
+
+
+def key_of(said: Column) -> Column:
+    """A text's 128-bit hash, which stands for it in joins."""
+    return F.struct(F.xxhash64(said).alias("h1"), F.xxhash64(said, F.lit(1)).alias("h2"))
+
+
+def score_models(texts: DataFrame, models: dict[str, tuple[DataFrame, DataFrame]], *, column: str = "text") -> DataFrame:
+    """(column, key, and probability_x and support_x for each model x) of the distinct texts: support is the share of known grams.
 
     Only known grams count. The probability is drawn towards 0.5 for short texts and for those with
-    little support; texts without a known gram have 0.5 and 0, as null and empty ones do.
+    little support; texts without a known gram have 0.5 and 0, as null and empty ones do. Grams are made
+    once for all models, whose weights are written as one table; a text takes part by its hash.
     """
-    table, totals = model
-    said = texts.select(F.coalesce(column, F.lit("")).alias(column)).distinct()
-    t = totals.select(
-        *[F.log((F.col(f"docs{k}") + 1) / (F.col("docs0") + F.col("docs1") + 2)).alias(f"prior{k}") for k in (0, 1)],
-        *[(F.col(f"total{k}") + ALPHA * F.greatest("vocabulary", F.lit(1))).alias(f"base{k}") for k in (0, 1)],
-    )
-    counted = grams(said, column, [column]).join(table, "gram", "left").join(F.broadcast(t))
-    known = F.col("c0").isNotNull()
-    weight = F.when(known, F.col("n") * (F.log((F.col("c1") + ALPHA) / F.col("base1")) - F.log((F.col("c0") + ALPHA) / F.col("base0"))))
-    sums = counted.groupBy(column).agg(F.sum(weight).alias("w"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("all"), F.first("prior0").alias("prior0"), F.first("prior1").alias("prior1"))
-    odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("prior1") - F.col("prior0") + F.col("w")))
-    p = 1.0 / (1.0 + F.exp(-odds))
-    support = F.col("k") / F.col("all")
-    letters = F.length(F.regexp_replace(text.plain(F.col(column)), r"[^\p{L}\p{N}]", ""))
-    trust = F.least(F.lit(1.0), letters / LENGTH_FOR_TRUST) * F.least(F.lit(1.0), support / SUPPORT_FOR_TRUST)
-    done = sums.where("k > 0").select(column, (0.5 + (p - 0.5) * trust).alias("probability"), support.alias("support"))
-    return said.join(done, column, "left").select(column, F.coalesce("probability", F.lit(0.5)).alias("probability"), F.coalesce("support", F.lit(0.0)).alias("support"))
+    weights, priors = None, None
+    for x, (table, totals) in models.items():
+        base = [F.col(f"total{k}") + ALPHA * F.greatest("vocabulary", F.lit(1)) for k in (0, 1)]
+        t = totals.select(*[b.alias(f"base{k}") for k, b in enumerate(base)])
+        weight = F.log((F.col("c1") + ALPHA) / F.col("base1")) - F.log((F.col("c0") + ALPHA) / F.col("base0"))
+        one = table.join(F.broadcast(t)).select("gram", weight.alias(f"w_{x}"))
+        odds = totals.select((F.log(F.col("docs1") + 1.0) - F.log(F.col("docs0") + 1.0)).alias(f"prior_{x}"))
+        weights = one if weights is None else weights.join(one, "gram", "full")
+        priors = odds if priors is None else priors.join(odds)  # one row each
+    weights = written(weights, "gram-weights")
+    said = texts.select(F.coalesce(column, F.lit("")).alias(column)).distinct().withColumn("key", key_of(F.col(column)))
+    plain = said.select("key", text.plain(F.col(column)).alias("_said"))
+    letters = F.length(F.regexp_replace("_said", r"[^\p{L}\p{N}]", "")).alias("letters")
+    cut = plain.select("key", "_said", letters).select("key", "letters", F.explode(F.expr(text.ngrams("_said"))).alias("gram"))
+    known = [f(F.col(f"w_{x}")).alias(f"{name}_{x}") for x in models for name, f in (("sum", F.sum), ("known", F.count))]
+    sums = cut.join(weights, "gram", "left").groupBy("key", "letters").agg(F.count("*").alias("all"), *known).join(F.broadcast(priors))
+
+    def scored(x: str) -> list[Column]:
+        odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"prior_{x}") + F.col(f"sum_{x}")))
+        support = F.col(f"known_{x}") / F.col("all")
+        trust = F.least(F.lit(1.0), F.col("letters") / LENGTH_FOR_TRUST) * F.least(F.lit(1.0), support / SUPPORT_FOR_TRUST)
+        drawn = 0.5 + (1.0 / (1.0 + F.exp(-odds)) - 0.5) * trust
+        return [F.when(F.col(f"known_{x}") > 0, drawn).alias(f"probability_{x}"), support.alias(f"support_{x}")]
+
+    done = sums.select("key", *[c for x in models for c in scored(x)])
+    default = [F.coalesce(f"{name}_{x}", F.lit(none)).alias(f"{name}_{x}") for x in models for name, none in (("probability", 0.5), ("support", 0.0))]
+    return said.join(done, "key", "left").select(column, "key", *default)
+
+
+def score(texts: DataFrame, model: tuple[DataFrame, DataFrame], *, column: str = "text") -> DataFrame:
+    """(column, probability, support) of the distinct texts under one model; see score_models()."""
+    return score_models(texts, {"a": model}, column=column).select(column, F.col("probability_a").alias("probability"), F.col("support_a").alias("support"))
 
 
 def prototype_margin(vectors: DataFrame, positive: DataFrame, negative: DataFrame, *, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -66,19 +66,26 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
 
 
 def sitemap_entries(files: DataFrame) -> DataFrame:
-    """(url, kind, target) of sitemaps (url, text): pages, or sitemaps if the root is an index. A malformed file has none."""
+    """(url, kind, target) of sitemaps (url, text): pages, or sitemaps if the root is an index. A malformed file and one without an address have none, a malformed address is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for u, t in zip(b["url"], b["text"], strict=True):
+                if not u:
+                    continue
                 try:
                     root = ET.fromstring(t or "")
                 except ET.ParseError:
                     continue
                 name = lambda e: e.tag.rpartition("}")[2].lower()
                 kind = "sitemap" if name(root) == "sitemapindex" else "page"
-                rows += [(u, kind, urljoin(u, e.text.strip())) for e in root.iter() if name(e) == "loc" and (e.text or "").strip()]
+                for e in root.iter():
+                    if name(e) == "loc" and (e.text or "").strip():
+                        try:
+                            rows.append((u, kind, urljoin(u, e.text.strip())))
+                        except ValueError:
+                            continue
             yield pd.DataFrame(rows, columns=["url", "kind", "target"])
 
     return files.select("url", "text").mapInPandas(run, "url string, kind string, target string").distinct()

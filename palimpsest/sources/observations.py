@@ -32,6 +32,15 @@ NEGATIVE = (
     "the museum is closed on mondays", "문의 전화와 담당 부서", "search results are sorted by date", "back to the previous page",
 )
 PHRASE = POSITIVE[0]
+#: The second model's sentences, in more languages.
+POSITIVE_2 = (
+    "apuestas seguras con bono secreto hoy", "カジノ 会員 募集 ボーナス 今すぐ", "秘密 赌场 返水 立即 加入", "가입 코드 넣고 보너스 받는 카지노", "casino online secreto bono gratis", "telegram agent for betting credit",
+    "토토 사이트 첫 충전 혜택", "geheimes casino mit bonus ohne limit", "win a bonus today in our secret casino", "성인 인증 없는 비밀 만남",
+)
+NEGATIVE_2 = (
+    "horario de la biblioteca municipal", "図書館 の 開館 時間", "图书馆 开放 时间", "도서관 이용 시간 안내", "die öffnungszeiten des rathauses", "les horaires du musée", "the council publishes its annual report", "무료 상담 전화 안내",
+    "política de privacidad y contacto", "weather and traffic for the weekend", "회원 정보 수정과 탈퇴", "suche nach dokumenten im archiv", "plan de la ville et transports", "contact the support team by form",
+)
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:

@@ -204,3 +204,38 @@ def test_entry(spark):
     assert set(oracles) <= set(queries) and len(queries) > 30
     if os.path.exists(__spark_entry__.SMALL):
         assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_findings_are_numbered_in_order(spark):
+    rows = [(f"https://a.test/{i}", "p", f"text {i}", "JAMO", (i * 7919) % 5000) for i in range(3000)]
+    got = export.findings(spark.createDataFrame(rows, "url string, location string, evidence_text string, technique string, seq int").repartition(7)).collect()
+    want = {u: f"f_{k:03d}" for k, (*_, u) in enumerate(sorted((s, u) for u, _, _, _, s in rows), 1)}
+    assert {r.url: r.id for r in got} == want
+    assert export.findings(spark.createDataFrame(rows[:1], "url string, location string, evidence_text string, technique string, seq int").limit(0)).count() == 0
+
+
+def test_unread_pages_are_no_copies(spark):
+    rows = [(f"https://a.test/x?p={i}", None if i != 2 else "a", i, False) for i in range(5)]
+    assert all(r.kept for r in frontier.content_dedup(spark.createDataFrame(rows, "url string, html string, seq int, partial boolean")).collect())
+
+
+def test_malformed_addresses_of_sitemaps(spark):
+    text = "<urlset><url><loc>http://[x/</loc></url><url><loc>/a</loc></url></urlset>"
+    files = spark.createDataFrame([("https://a.test/sitemap.xml", text), (None, text), ("https://b.test/s", None), ("https://c.test/s", "<")], "url string, text string")
+    assert sorted((r.url, r.target) for r in html.sitemap_entries(files).collect()) == [("https://a.test/sitemap.xml", "https://a.test/a")]
+
+
+def test_written_results_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from palimpsest.plans import storage
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        storage.shared_dir(cluster)
+
+
+def test_worker_choice_over_all_runs(spark):
+    rows = [(4, 96.0, 0, 1), (6, 100.0, 0, 1), (2, 90.0, 0, 1), (1, 200.0, 1, 1)]
+    runs = spark.createDataFrame(rows, "workers int, pages_per_sec double, errors int, observations int")
+    assert [tuple(r) for r in evaluate.choose_workers(runs).collect()] == [(4, 96.0)]
