@@ -7,11 +7,13 @@ these prefixes, pairs whose sizes or places rule the similarity out are dropped,
 sets of the rest are compared. Any order gives the same pairs; shingles that many texts have come last,
 so that few texts meet under one.
 
-Sets that are crowded under one shingle aren't paired out at once. They are compared with one of them,
-the pivot, and what is alike is linked to it; such sets need no links among each other. One minus the
+Sets that are crowded under one shingle aren't paired out. They are compared with one of them, the
+pivot, and what is alike is linked to it; such sets need no links among each other. One minus the
 similarity is a metric, so whatever lies nearer to the pivot than all sets that aren't alike do, by more
-than 1 - t, can't be linked to any of those and is done with. The others go on with another pivot. What
-no pivot has linked is compared with the crowd in pairs at last.
+than 1 - t, can't be linked to any of those and is done with. Of the others, two sets either have a
+shingle in common that the pivot hasn't, and are joined on the first of those that the sizes ask for, or
+they share no more than either shares with the pivot, which the sizes must leave room for. Pairs that
+the links found so far have put in one component are left out: they need no link.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, sliced, union_all
+from palimpsest.llm.graph import components
 
 #: Texts looked at for common shingles, the texts among them that make one common, and how many come to the driver at most.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
-#: Sets under one shingle from which they count as a crowd, and pivots that a crowd is compared with before the rest is paired out.
-CROWD, PIVOTS = 32, 12
+#: Lesser sets under one shingle from which the sets there count as a crowd.
+CROWD = 32
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -98,11 +101,11 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _with_similarity(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """pairs (u, v, and what else) with alike, the Jaccard similarity of their sets."""
+    """pairs (u, v, and what else) with shared, the shingles that both sets have, and alike, their Jaccard similarity."""
     both = pairs.join(whole.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    counted = both.select(*pairs.columns, shared.alias("_shared"), (F.size("a") + F.size("b")).alias("_both"))
-    return counted.select(*pairs.columns, F.coalesce(F.try_divide(F.col("_shared"), F.col("_both") - F.col("_shared")), F.lit(1.0)).alias("alike"))
+    counted = both.select(*pairs.columns, shared.alias("shared"), (F.size("a") + F.size("b")).alias("_both"))
+    return counted.select(*pairs.columns, "shared", F.coalesce(F.try_divide(F.col("shared"), F.col("_both") - F.col("shared")), F.lit(1.0)).alias("alike"))
 
 
 def _sets(texts: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -125,8 +128,8 @@ def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) ->
     """Pairs (u, v) of the fp of sets, as written by prefixes() from texts (id, h, text), that are alike.
 
     Every two sets that are alike are in one component of these links. Equal sets have one fp and
-    are no pair. A crowd under one shingle costs a comparison with each pivot; what PIVOTS of them haven't
-    linked or ruled out, sets that are neither alike nor far apart, is compared with the rest in pairs.
+    are no pair. A crowd under one shingle costs a comparison of each set with the pivot; sets of it that
+    are still apart and have rare shingles in common which the pivot hasn't are compared in pairs.
     """
     once = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("head").alias("head")), "near-heads")
     heads = once.select("fp", "n", F.posexplode("head").alias("at", "k"))
@@ -152,32 +155,51 @@ def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) ->
         whole = _sets(texts, sets, pairs.select(F.explode(F.array("u", "v")).alias("fp")), words)
         return alike(pairs)
     pairs = materialize(paired(heads.join(hot, "k", "left_anti")), "near-candidates")
-    # What lies under many of these shingles is like many sets, and a good pivot. A set's pivot is the first that linked it.
     crowded = materialize(heads.join(hot, "k", "left_semi"), "near-crowded")
-    central = crowded.groupBy("fp").agg(F.count("*").alias("central"))
-    crowded = materialize(crowded.join(central, "fp").withColumn("pivot", F.lit(None).cast("bigint")), "near-crowded")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(crowded.select("fp"))
     whole = _sets(texts, sets, wanted, words)
-    found = [alike(pairs)]
-    for _ in range(PIVOTS):
-        free = crowded.where("pivot is null")
-        best = F.max_by("fp", F.struct("central", F.xxhash64("fp")))
-        pivots = materialize(free.groupBy("k").agg(F.count("*").alias("many"), best.alias("v")).where(F.col("many") > CROWD).select("k", "v"), "near-pivots")
-        if pivots.isEmpty():
-            break
-        told = materialize(crowded.join(pivots, "k").select("k", F.col("fp").alias("u"), "v"), "near-pivoted")
-        compared = materialize(_with_similarity(told.select("u", "v").distinct(), whole), "near-alike")
-        near = F.col("alike") >= similarity - 1e-9
-        found.append(compared.where(near & (F.col("u") != F.col("v"))).select("u", "v"))
-        told = materialize(told.join(compared, ["u", "v"]), "near-told")
-        # The greatest similarity to the pivot of those that aren't alike to it; null if there are none.
-        outer = materialize(told.groupBy("k").agg(F.max(F.when(~near, F.col("alike"))).alias("next")), "near-outer")
-        stays = (F.col("u") != F.col("v")) & (~near | (F.col("alike") - (1 - similarity) <= F.col("next") + 1e-9))
-        rest = told.join(outer, "k").where(stays).select("k", F.col("u").alias("fp"), F.when(near, F.col("v")).alias("now"))
-        done = crowded.join(pivots.select("k"), "k", "left_anti")
-        on = crowded.join(rest, ["k", "fp"]).withColumn("pivot", F.coalesce("pivot", "now")).drop("now")
-        crowded = materialize(done.unionByName(on), "near-crowded")
-    # Sets that one pivot has linked are in one component already.
-    parted = ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
-    found.append(alike(materialize(paired(crowded, parted), "near-rest")))
-    return union_all(found)
+    # What lies under many of these shingles is like many sets, and a good pivot at first.
+    central = crowded.groupBy("fp").agg(F.count("*").alias("central"))
+    pivots = crowded.join(central, "fp").groupBy("k").agg(F.max_by("fp", F.struct("central", F.xxhash64("fp"))).alias("v"))
+
+    def beyond(pairs: DataFrame) -> DataFrame:
+        """pairs (u, v) with each shingle e that u has beyond v's."""
+        return pairs.join(whole.select(F.col("fp").alias("u"), "s"), "u").join(whole.select(F.col("fp").alias("v"), F.col("s").alias("has")), "v").select("u", "v", F.explode(F.array_except("s", "has")).alias("e"))
+
+    # A better one has most of what many sets of the crowd have beyond the first, and least of what few have.
+    members = crowded.select("k", F.col("fp").alias("u")).join(materialize(pivots, "near-pivots"), "k")
+    added = materialize(beyond(members.select("u", "v").distinct()), "near-added")
+    many = added.groupBy("v", "e").agg((F.count("*") > CROWD).alias("many"))
+    odd = added.join(many, ["v", "e"]).groupBy("u", "v").agg(F.count_if("many").alias("common"), F.count_if(~F.col("many")).alias("rare"))
+    rank = F.struct(-F.coalesce("rare", F.lit(0)), F.coalesce("common", F.lit(0)), F.xxhash64("u"))
+    pivots = members.join(odd, ["u", "v"], "left").groupBy("k").agg(F.max_by("u", rank).alias("v"))
+    members = materialize(crowded.withColumnRenamed("fp", "u").join(materialize(pivots, "near-pivots"), "k"), "near-pivoted")
+    compared = materialize(_with_similarity(members.select("u", "v").distinct(), whole), "near-compared")
+    inner = F.col("alike") >= similarity - 1e-9
+    members = members.join(compared, ["u", "v"])
+    known = materialize(alike(pairs).unionByName(compared.where(inner & (F.col("u") != F.col("v"))).select("u", "v")), "near-links")
+    # The greatest similarity to the pivot of those that aren't alike to it; null if there are none.
+    outer = members.groupBy("k").agg(F.max(F.when(~inner, F.col("alike"))).alias("next"))
+    stays = (F.col("u") != F.col("v")) & (~inner | (F.col("alike") - (1 - similarity) <= F.col("next") + 1e-9))
+    rest = members.join(materialize(outer, "near-outer"), "k").where(stays).withColumnRenamed("u", "fp")
+    # Only sets that these links leave in different components are compared any further.
+    roots = components(known).withColumnRenamed("node", "fp")
+    rest = rest.join(roots, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("next", "alike", "root")
+    rest = materialize(rest, "near-members")
+    apart = F.col("x.part") != F.col("y.part")
+    room = (1 + similarity) * F.least("x.shared", "y.shared") >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-9
+    some = rest.select("v", "fp", "n", "part", "shared").distinct()
+    added = materialize(beyond(some.select(F.col("fp").alias("u"), "v")).withColumnRenamed("u", "fp").join(some, ["v", "fp"]), "near-added")
+    # So many of its added shingles must a set have in common with another of that pivot, which has at least the least size there.
+    least = rest.groupBy("v").agg(F.min("n").alias("least"))
+    needs = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.greatest(similarity * F.col("n"), F.col("least"))) - 1e-9) - F.col("shared")).cast("int")
+    several = materialize(added.groupBy("v", "e").count().where("count > 1"), "near-several")
+    few = added.join(several, ["v", "e"]).groupBy("v", "fp", "n", "part", "shared").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("es")).join(least, "v").withColumn("needs", needs)
+    few = few.where(F.size("es") >= F.col("needs")).select("v", "fp", "n", "part", F.explode(F.expr("slice(es, 1, size(es) - needs + 1)")).alias("e"))
+    added = materialize(few.select("v", "fp", "n", "part", "e.e"), "near-added-first")
+    x, y = added.alias("x"), added.alias("y")
+    fits = (F.col("x.v") == F.col("y.v")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.fp") < F.col("y.fp")) & apart
+    fits &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    beside = x.join(y, fits).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).unionByName(paired(rest, apart & room))
+    beside = materialize(beside.distinct(), "near-beside")
+    return union_all([known, alike(beside)])

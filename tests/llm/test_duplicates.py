@@ -98,10 +98,9 @@ def plain_near(texts, similarity):
     return [i for i in range(len(texts)) if root(i) == i]
 
 
-@pytest.mark.parametrize("crowd,pivots", [(256, 12), (3, 2), (0, 12)])
-def test_near_dedup_reaches_the_similarity(spark, monkeypatch, crowd, pivots):
+@pytest.mark.parametrize("crowd", [256, 3, 0])
+def test_near_dedup_reaches_the_similarity(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
-    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rng = random.Random(12)
     some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     license_ = some(30)
@@ -112,7 +111,9 @@ def test_near_dedup_reaches_the_similarity(spark, monkeypatch, crowd, pivots):
         for _ in range(rng.randint(0, 4)):
             copy = list(base)
             for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 35))):
-                copy[at] = f"edit{rng.randrange(9999)}"
+                copy[at] = f"edit{rng.randrange(9999 if k % 2 else 3)}"
+            if rng.random() < 0.3:
+                copy = copy[: len(copy) - rng.randint(0, len(copy) // 4)]  # fewer shingles, none added
             texts.append(" ".join(copy))
     rng.shuffle(texts)
     likely = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in itertools.combinations(texts, 2)]
