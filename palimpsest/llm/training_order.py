@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import CHUNK, LibraryCodec, _chunks, _vocabulary, codec
+from palimpsest.llm.bpe import CHUNK, LibraryCodec, _chunks, _vocabulary, codec, read_ranks
 from palimpsest.llm.common import docs_of, materialize, partitions, shared_dir, union_all
 
 #: Tokens of a sequence, sequences of a shard, rounds of the network.
@@ -69,9 +69,15 @@ def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 def sequences(df: DataFrame, path: str, *, id_: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """(id, part, n_tokens, tokens) of each text's ids and the end mark, cut into parts of length ids; tokens are 16-bit, filled up with end.
 
-    Null and empty texts give one sequence of the end mark. Rows of df with one id stay apart.
+    Null and empty texts give one sequence of the end mark. Rows of df with one id stay apart; an empty table
+    gives an empty table. A vocabulary whose ids don't fit 16 bits, or have the end mark among them, is refused.
     """
     vocab, pattern = _vocabulary(df.sparkSession, path, None)
+    known = set(read_ranks(vocab.value).values())
+    if max(known | {end}) > 0xFFFF or min(known | {end}) < 0:
+        raise ValueError("ids of over 16 bits")
+    if end in known:
+        raise ValueError(f"the end mark {end} is a token of the vocabulary")
     work = df.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def with_slots(stored: DataFrame, seed: int = 0, shard: int = SHARD, waves: int
     """stored, a written table, with each row's slot, dense from 0, the number of its shard, and the range and wave that the shard is written in.
 
     Rows are numbered as they lie in the files (file, then row of the file); only a count for each file
-    comes to the driver. So a task that runs again numbers its rows as before.
+    comes to the driver. So a task that runs again numbers its rows as before. An empty table has no slots.
     """
     spark = stored.sparkSession
     counts = sorted((r[0], r[1]) for r in stored.groupBy(F.col("_metadata.file_name").alias("f")).count().collect())

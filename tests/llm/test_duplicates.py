@@ -204,6 +204,18 @@ def test_suffix_dedup(spark, monkeypatch, crowd, shard):
     assert suffix_dedup.suffix_dedup(docs(spark, texts).limit(0), span=40, window=16).count() == 0
 
 
+def test_planted_passages_at_the_full_span(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = prose(80), prose(51)
+    short = short[:399]  # over 50 words can be under 400 bytes: the contract then leaves them
+    texts = [f"{prose(60)} {p} {prose(60)}" for p in (long, short, long, short)] + [prose(200) for _ in range(20)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()}
+    assert [(bytes(got[i].kept), len(got[i].removed)) for i in range(len(texts))] == plain_bytes(texts, suffix_dedup.SPAN)
+    assert [len(got[i].removed) for i in range(6)] == [1, 0, 1, 0, 0, 0]
+
+
 def test_merge_is_the_order_of_all_suffixes():
     rng = random.Random(8)
     strings = [np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 12))]) for _ in range(40)]
@@ -331,6 +343,17 @@ def test_shards(spark, tmp_path):
         assert got[: r.n_tokens].tolist() == ids and hashlib.sha256(got.tobytes()).hexdigest() == r.sha256
 
 
+def test_shards_of_odd_tables(spark, tmp_path):
+    from palimpsest.llm.common import materialize
+
+    stored = materialize(training_order.sequences(docs(spark, ["x"]).limit(0), PATH, length=16), "t")
+    assert training_order.write_shards(training_order.with_slots(stored), str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        training_order.sequences(docs(spark, ["x"]), PATH, end=100)
+    with pytest.raises(ValueError):
+        training_order.sequences(docs(spark, ["x"]), PATH, end=70_000)
+
+
 def test_pipeline_stages(spark):
     import os
 

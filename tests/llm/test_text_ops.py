@@ -153,6 +153,19 @@ def test_classifier_on_held_out_labels(spark):
     assert auc > 0.98 and (got.predicted == got.quality).mean() > 0.95
 
 
+def test_compiled_rules_score_as_they_read(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 3)).round(2)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] <= 0.7)).astype(float)
+    model = classifier.fit_rules(x, y, ["a", "b", "c"])
+    assert model.rules
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = rows.select("a", "b", "c", model.score({k: F.col(k) for k in "abc"}).alias("score")).collect()
+    for r in got:
+        odds = model.bias + sum(w for w, conditions in model.rules if all((r[f] > cut) == above for f, above, cut in conditions))
+        assert abs(r.score - 1 / (1 + np.exp(-odds))) < 1e-9
+
+
 def test_classifier_edges(spark):
     texts = [None, "", "word " * 3000, "same", "same"]
     model = classifier.fit_quality(table(spark, texts), spark.createDataFrame([], "doc_id long, quality int"))
