@@ -203,3 +203,23 @@ def number(text: Column) -> Column:
 def seconds(text: Column) -> Column:
     """A duration in seconds, which may end in the Korean word for them; 0 if it is none."""
     return F.coalesce(F.regexp_replace(F.trim(text), "초$", "").try_cast("double"), F.lit(0.0))
+
+
+def css_attribute(value: Column) -> Column:
+    """A value as it stands between the quotes of a CSS attribute selector."""
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+#: Scripts that are told apart, in order, with the names that regular expressions know them by.
+SCRIPTS = {
+    "LATIN": "IsLatin", "CYRILLIC": "IsCyrillic", "GREEK": "IsGreek", "HANGUL": "IsHangul", "HIRAGANA": "IsHiragana", "KATAKANA": "IsKatakana", "CJK": "IsHan", "ARABIC": "IsArabic", "HEBREW": "IsHebrew", "THAI": "IsThai",
+    "DEVANAGARI": "IsDevanagari",
+}
+
+
+def script_bucket(char: Column) -> Column:
+    """The script of a letter, OTHER for one of another script, null for what is no letter."""
+    out = F.lit("OTHER")
+    for name, known in reversed(SCRIPTS.items()):
+        out = F.when(char.rlike(rf"^\p{{{known}}}"), name).otherwise(out)
+    return F.when(char.rlike(r"^\p{L}"), out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +101,25 @@ def machine_fingerprint(fields: dict[str, str]):
 def usable_tuning(cache: DataFrame, *, schema: int, fingerprint: str, now: float, tried: tuple[int, ...] = (4, 6, 8), age: float = 30 * 86_400) -> DataFrame:
     """The cached tuning results that still hold: of this schema and machine, not too old, with workers that are tried at all."""
     return cache.where((F.col("schema") == schema) & (F.col("fingerprint") == fingerprint) & (F.lit(now) - F.col("created_at_epoch") <= age) & F.col("selected_workers").isin(*tried))
+
+
+def status_match(cases: DataFrame) -> DataFrame:
+    """(total, mismatched, missing, rate) of cases (expected_status, verification_status): a case without a status is missing, one without an expected status can't mismatch."""
+    wrong = F.col("expected_status").isNotNull() & (F.col("expected_status") != "") & (F.col("verification_status") != F.col("expected_status"))
+    sums = cases.agg(F.count("*").alias("total"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("mismatched"), F.count_if(F.col("verification_status").isNull()).alias("missing"))
+    return sums.withColumn("rate", F.coalesce(F.try_divide(F.col("total") - F.col("mismatched") - F.col("missing"), F.col("total")), F.lit(0.0)))
+
+
+def scale_metrics(expected: DataFrame, controls: DataFrame, found: DataFrame, kept: DataFrame, keys: list[str], *, pages: int, seconds: float) -> DataFrame:
+    """One row: recall of detectors (found) and of the verifier (kept) over what is expected, what it kept of controls and of neither, its precision, pages a second."""
+    sides = {"expected": expected, "control": controls, "found": found, "kept": kept}
+    marked = [df.select(*keys, *[F.lit(int(name == side)).alias(f"_{name}") for name in sides]) for side, df in sides.items()]
+    cases = reduce(DataFrame.unionByName, marked).groupBy(*keys).agg(*[(F.max(f"_{name}") == 1).alias(name) for name in sides])
+    c = F.col
+    n = cases.agg(
+        F.count_if("expected").alias("expected"), F.count_if(c("expected") & c("found")).alias("detected"), F.count_if(c("expected") & c("kept")).alias("hits"), F.count_if(c("control") & c("kept")).alias("leaks"),
+        F.count_if(c("kept") & ~c("expected") & ~c("control")).alias("unexpected"),
+    )
+    recall = lambda x: F.coalesce(F.try_divide(c(x), c("expected")), F.lit(1.0))
+    precision = c("hits") / F.greatest(F.lit(1), c("hits") + c("unexpected") + c("leaks"))
+    return n.select("*", recall("detected").alias("detector_recall"), recall("hits").alias("recall"), precision.alias("precision"), F.lit(pages / max(seconds, 0.001)).alias("pages_per_second"))

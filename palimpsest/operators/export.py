@@ -107,3 +107,25 @@ def file_problems(spark: SparkSession, path: str) -> DataFrame:
 def auxiliary_summary(aux: DataFrame) -> DataFrame:
     """One row: how many auxiliary findings are suspicious, and the first that concerns a host."""
     return aux.agg(F.count_if(F.col("risk") == "SUSPICIOUS").alias("suspicious"), F.min_by("hostname", F.when(F.col("type") == "DOMAIN_IMPERSONATION_RISK", F.col("id"))).alias("first_host"))
+
+
+META_TEXTS = ("topic", "entry_url", "started_at", "finished_at", "tool_version")
+
+
+def meta_problems(results: DataFrame) -> DataFrame:
+    """(path, problem) of results (path, text) whose meta part has a text field that is none, or seconds that are no number or below 0."""
+    meta = lambda c: F.expr(f"try_variant_get(try_parse_json(text), '$.meta.{c}', 'variant')")
+    kind = lambda c: F.schema_of_variant(meta(c))
+    told = F.array(*[F.when(meta(c).isNotNull() & (kind(c) != "STRING"), F.concat(F.lit("NOT_TEXT:"), F.lit(c))) for c in META_TEXTS])
+    seconds = F.expr("try_variant_get(try_parse_json(text), '$.meta.elapsed_sec', 'double')")
+    number = kind("elapsed_sec").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    bad = F.when(meta("elapsed_sec").isNotNull() & (~number | (seconds < 0)), "BAD_ELAPSED")
+    return results.select("path", F.explode(F.array_compact(F.concat(told, F.array(bad)))).alias("problem"))
+
+
+def validate(spark: SparkSession, path: str) -> int:
+    """The exit code for a result file: 0 if it is sound, else 1."""
+    if not file_problems(spark, path).isEmpty():
+        return 1
+    raw = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+    return int(not meta_problems(raw).isEmpty() or not violations(read_result(spark, path)).isEmpty())

@@ -65,3 +65,25 @@ def crawl(links: DataFrame, entry: DataFrame) -> DataFrame:
             break
         visited = written(visited.unionByName(now), "visited")
     return visited
+
+
+#: Content types of pages; an answer without one counts as a page.
+PAGE_TYPES = ("", "text/html", "application/xhtml+xml")
+
+
+def fetched_pages(answers: DataFrame) -> DataFrame:
+    """Of fetched answers (url, status, content_type) those that are pages: no error status, and a page's content type, parameters aside; null types count as none, null statuses are no pages."""
+    kind = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
+    return answers.where((F.col("status") < 400) & kind.isin(*PAGE_TYPES))
+
+
+def allowed_hosts(entries: DataFrame, answers: DataFrame) -> DataFrame:
+    """(host): the hosts of entries (url), and those that answers (url, final_url) to an entry's address redirect to."""
+    known = entries.select(urls.canonical(F.col("url")).alias("url")).distinct()
+    led = answers.select(urls.canonical(F.col("url")).alias("url"), "final_url").join(known, "url", "left_semi").select(F.col("final_url").alias("url"))
+    return entries.select("url").unionByName(led).select(urls.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+
+
+def capped(scheduled: DataFrame, max_pages: int) -> DataFrame:
+    """The first pages of a schedule that a run may visit at most."""
+    return scheduled.orderBy("source_rank", "pattern_rank", "seq", "url").limit(max_pages)

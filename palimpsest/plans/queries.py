@@ -605,3 +605,65 @@ def hourly_events(spark, sf_dir):
 def profile_rollup(spark, sf_dir):
     profile = evaluate.pass_profile(_merged(spark, sf_dir))
     return profile.rollup("technique", "passes").agg(F.sum("n").alias("n"))
+
+
+# --- answers, scripts, run results ----------------------------------------------------------------
+
+_ANSWERS = """answers AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, CASE page_id % 4 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN NULL ELSE 'application/xhtml+xml' END AS content_type FROM pages)"""
+
+
+@query(f"WITH {_ANSWERS} SELECT page_id, url FROM answers WHERE status < 400 AND coalesce(trim(lower(split_part(content_type, ';', 1))), '') IN ('', 'text/html', 'application/xhtml+xml')")
+def fetched_pages(spark, sf_dir):
+    i = F.col("page_id") % 4
+    kind = F.when(i == 0, "Text/HTML; charset=utf-8").when(i == 1, "application/pdf").when(i == 3, "application/xhtml+xml")
+    answers = _table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"))
+    return frontier.fetched_pages(answers).select("page_id", "url")
+
+
+@query(f"""SELECT DISTINCT lower(regexp_extract(u, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM (SELECT url AS u FROM pages WHERE page_id % 50 = 0 UNION ALL SELECT 'https://www' || page_id || '.moved.test/' FROM pages p
+  WHERE {_CANONICAL} IN (SELECT {_CANONICAL} FROM pages WHERE page_id % 50 = 0))""")
+def allowed_hosts(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    led = F.concat(F.lit("https://www"), F.col("page_id").cast("string"), F.lit(".moved.test/"))
+    return frontier.allowed_hosts(pages.where("page_id % 50 = 0"), pages.select("url", led.alias("final_url")))
+
+
+@query("SELECT url, pattern FROM (" + ORACLES["frontier_order"] + ") ORDER BY source_rank, pattern_rank, seq, url LIMIT 50")
+def page_cap(spark, sf_dir):
+    return frontier.capped(frontier.schedule(_found(spark, sf_dir)), 50).select("url", "pattern")
+
+
+@query(f"""{_OBS}, chars AS (SELECT unnest(string_split(text, '')) AS c FROM (SELECT DISTINCT text FROM elements))
+SELECT CASE {" ".join(f"WHEN regexp_matches(c, '^[{k}]') THEN '{n}'" for n, k in (("LATIN", "A-Za-zªº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f０Ａ-Ｚａ-ｚ"), ("CYRILLIC", "\u0400-\u04ff"), ("GREEK", "\u0370-\u03ff"), ("HANGUL", "ㄱ-ㆎ가-힣")))} ELSE 'OTHER' END AS script, count(*) AS n FROM chars WHERE regexp_matches(c, '^\\p{{L}}') GROUP BY ALL""")
+def script_buckets(spark, sf_dir):
+    chars = observations.derived(spark, sf_dir).select("text").distinct().select(F.explode(F.split("text", "")).alias("c"))
+    return chars.select(text.script_bucket(F.col("c")).alias("script")).where("script is not null").groupBy("script").agg(F.count("*").alias("n"))
+
+
+@query("SELECT technique, verification_status, count(*) AS n FROM (" + ORACLES["verification_status"] + ") GROUP BY ROLLUP (technique, verification_status)")
+def run_summary(spark, sf_dir):
+    return export.run_summary(_verified(spark, sf_dir))
+
+
+@query("""WITH cases AS (SELECT CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'CONFIRMED' ELSE 'SUSPICIOUS' END AS expected_status, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'BENIGN_LIKELY' WHEN 2 THEN 'CONFIRMED' ELSE 'SUSPICIOUS' END AS got FROM events
+), n AS (SELECT count(*) AS total, count(*) FILTER (expected_status IS NOT NULL AND got <> expected_status) AS mismatched, count(*) FILTER (got IS NULL) AS missing FROM cases)
+SELECT total, mismatched, missing, round((total - mismatched - missing) / total, 9) AS rate FROM n""")
+def status_match(spark, sf_dir):
+    e = F.col("event_id")
+    got = F.when(e % 7 == 1, "BENIGN_LIKELY").when(e % 7 == 2, "CONFIRMED").when(e % 7 != 0, "SUSPICIOUS")
+    cases = _table(spark, sf_dir, "events").select(F.when(e % 5 == 1, "CONFIRMED").when(e % 5 != 0, "SUSPICIOUS").alias("expected_status"), got.alias("verification_status"))
+    return evaluate.status_match(cases).withColumn("rate", F.round("rate", 9))
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'probe' ELSE 'retain' END AS expectation, count(*) AS total, count(*) FILTER (event_id % 4 IN (1, 2)) AS kept FROM events GROUP BY ALL""")
+def retention(spark, sf_dir):
+    e = F.col("event_id")
+    status = F.when(e % 4 == 1, "CONFIRMED").when(e % 4 == 2, "SUSPICIOUS").when(e % 4 == 3, "BENIGN_LIKELY")
+    return evaluate.retention(_table(spark, sf_dir, "events").select(F.when(e % 3 == 0, "probe").otherwise("retain").alias("expectation"), status.alias("status")))
+
+
+@query("""SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/robots.txt' AS url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/maps/' || (page_id % 3) || '.xml' AS sitemap FROM pages""")
+def robots_sitemaps(spark, sf_dir):
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    said = F.concat(F.lit("User-agent: *\nDisallow: /x\nSiteMap:  /maps/"), (F.col("page_id") % 3).cast("string"), F.lit(".xml \r\nsitemap:\n"))
+    return html.robots_sitemaps(_table(spark, sf_dir, "pages").select(F.concat(origin, F.lit("/robots.txt")).alias("url"), said.alias("text")))

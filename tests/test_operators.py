@@ -239,3 +239,25 @@ def test_worker_choice_over_all_runs(spark):
     rows = [(4, 96.0, 0, 1), (6, 100.0, 0, 1), (2, 90.0, 0, 1), (1, 200.0, 1, 1)]
     runs = spark.createDataFrame(rows, "workers int, pages_per_sec double, errors int, observations int")
     assert [tuple(r) for r in evaluate.choose_workers(runs).collect()] == [(4, 96.0)]
+
+
+def test_scripts_and_selectors(spark):
+    from palimpsest.functions import text
+
+    want = {"a": "LATIN", "é": "LATIN", "Ａ": "LATIN", "я": "CYRILLIC", "λ": "GREEK", "ㄱ": "HANGUL", "가": "HANGUL", "ひ": "HIRAGANA", "カ": "KATAKANA", "漢": "CJK", "ع": "ARABIC", "א": "HEBREW", "ไ": "THAI", "क": "DEVANAGARI", "ა": "OTHER", "1": None, " ": None}
+    rows = spark.createDataFrame([(c,) for c in want], "c string").select("c", text.script_bucket(F.col("c")).alias("s"), text.css_attribute(F.concat("c", F.lit('"\\'))).alias("e")).collect()
+    assert {r.c: r.s for r in rows} == want and all(r.e == r.c + '\\"\\\\' for r in rows)
+
+
+def test_scale_metrics(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    r = evaluate.scale_metrics(keys("a", "b", "c", "d"), keys("x"), keys("a", "b", "c"), keys("a", "b", "x", "z"), ["k"], pages=50, seconds=10.0).first()
+    assert (r.expected, r.detected, r.hits, r.leaks, r.unexpected, r.detector_recall, r.recall, r.precision, r.pages_per_second) == (4, 3, 2, 1, 1, 0.75, 0.5, 0.5, 5.0)
+
+
+def test_validation_of_a_file(spark, tmp_path):
+    good = {"meta": {"topic": "t", "elapsed_sec": 1.5}, "findings": [{"id": "f_001", "url": "u", "is_violation": True, "location": "p", "evidence_text": "x", "technique": "JAMO"}]}
+    cases = [(good, 0), (good | {"meta": {"topic": 3}}, 1), (good | {"meta": {"elapsed_sec": -1}}, 1), (good | {"meta": {"elapsed_sec": True}}, 1), (good | {"findings": good["findings"] * 2}, 1), ({"meta": {}}, 1)]
+    for i, (data, want) in enumerate(cases):
+        (tmp_path / f"{i}.json").write_text(json.dumps(data))
+        assert export.validate(spark, str(tmp_path / f"{i}.json")) == want
