@@ -4,6 +4,12 @@ A text is cut into words by the vocabulary's pattern. Words that are new to the
 become token-position rows; a recursive query joins neighbouring tokens with the merge table
 and contracts each word's leftmost pair of least rank until no pair is in the table. Decoding
 joins ids with the vocabulary and aggregates their bytes in order of position.
+
+A long word is contracted in overlapping blocks, which are laid together at a token that both have.
+That is exact: tokens are what a word contracts to just if every two neighbours among them, contracted
+on their own, stay as they are. For the first merge across an edge between two of them would also be
+the first across it in these two alone, as nothing from outside has reached them until then. Parts of
+what a block contracts to keep that property, and so does what is laid together at a common token.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ from palimpsest.llm.common import docs_of, row_of, with_row
 REMEMBERED = 300_000
 #: Code points that are tokenised together, and words that one recursive query contracts.
 CHUNK, AT_ONCE = 400_000, 8_000
-#: Words of more bytes contract all pairs of a rank at once where that can't change the result.
+#: Rows that one recursive query may make, by the squares of its words' lengths. Bounds memory.
+STEPS = 1_000_000
+#: Words of more bytes are contracted in blocks of so many, which start every half block.
 LONG = 64
 
 _SHORT_SQL = """
@@ -114,6 +122,8 @@ class Codec:
         import tiktoken
 
         self.ranks = read_ranks(content)
+        self.widths = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        self.widths[list(self.ranks.values())] = list(map(len, self.ranks))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         # The classes of characters come from the library's own regular expressions.
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -219,8 +229,7 @@ class Codec:
             groups[0 if w in self.ranks else 1 + (len(w) > LONG)].append(w)
         known = np.array([self.ranks[w] for w in groups[0]], dtype=np.int64)
         self.keep(groups[0], known, np.ones(len(known), dtype=np.int64))
-        for i in range(0, len(groups[1]), AT_ONCE):
-            part = groups[1][i : i + AT_ONCE]
+        for part in _parts(groups[1]):
             self.keep(part, *self.contract(part))
         if groups[2]:
             self.keep(groups[2], *self.contract_long(groups[2]))
@@ -256,7 +265,7 @@ class Codec:
         ids = got["ids"].combine_chunks()
         return ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
 
-    def contract_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def contract_steps(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As contract(); each step is a query of its own, since a recursive query would keep all steps' rows."""
         self.con.register("init", self.rows(words))
         self.con.execute("CREATE OR REPLACE TEMP TABLE s AS SELECT i.*, m.k, m.calm FROM init i LEFT JOIN merges m ON m.pair = (i.t << 32) | i.u")
@@ -265,6 +274,49 @@ class Codec:
             self.con.execute("DROP TABLE s; ALTER TABLE s2 RENAME TO s")
         return self.by_word(self.con.sql("SELECT w, list(t ORDER BY p) AS ids FROM s GROUP BY w").to_arrow_table())
 
+    def blocks(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of each of some blocks; equal ones are contracted once."""
+        done: dict[bytes, np.ndarray] = {}
+        new = list(dict.fromkeys(words))
+        for part in _parts([w for w in new if len(w) <= LONG]):
+            ids, sizes = self.contract(part)
+            done.update(zip(part, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
+        if joined := [w for w in new if len(w) > LONG]:
+            ids, sizes = self.contract_steps(joined)
+            done.update(zip(joined, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
+        return done
+
+    def contract_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As contract(), in blocks. Two blocks that have no token in common where they overlap become one and are contracted again."""
+        half = LONG // 2
+        cuts = [[(a, min(a + LONG, len(w))) for a in range(0, max(1, len(w) - half), half)] for w in words]
+        known: dict[bytes, np.ndarray] = {}
+        out: list[np.ndarray | None] = [None] * len(words)
+        todo = list(range(len(words)))
+        while todo:
+            known |= self.blocks([x for i in todo for a, b in cuts[i] if (x := words[i][a:b]) not in known])
+            for i in todo:
+                found = [known[words[i][a:b]] for a, b in cuts[i]]
+                starts = [a + np.cumsum(self.widths[ids]) - self.widths[ids] for (a, _), ids in zip(cuts[i], found, strict=True)]
+                seams = [self.seam(found[j], starts[j], found[j + 1], starts[j + 1]) for j in range(len(found) - 1)]
+                if -1 in seams:
+                    whole = [cuts[i][0]]
+                    for at, (a, b) in zip(seams, cuts[i][1:], strict=True):
+                        whole[-1:] = [(whole[-1][0], b)] if at < 0 else [whole[-1], (a, b)]
+                    cuts[i] = whole
+                else:
+                    edges = [0, *seams, len(words[i])]
+                    out[i] = np.concatenate([ids[(s >= a) & (s < b)] for ids, s, a, b in zip(found, starts, edges, edges[1:], strict=False)])
+            todo = [i for i in todo if out[i] is None]
+        return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
+
+    @staticmethod
+    def seam(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray) -> int:
+        """Where the first token starts that two overlapping blocks have in common; -1 if there is none."""
+        at, x, y = np.intersect1d(left_at, right_at, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(left[x] == right[y])
+        return int(at[same[0]]) if len(same) else -1
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts laid end to end, and how many each has."""
         words, per_text = self.words(texts)
@@ -329,6 +381,20 @@ def _chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in their order, in lists for one recursive query each."""
+    part: list[bytes] = []
+    rows = 0
+    for w in words:
+        if part and (len(part) == AT_ONCE or rows + len(w) ** 2 // 2 > STEPS):
+            yield part
+            part, rows = [], 0
+        part.append(w)
+        rows += len(w) ** 2 // 2
+    if part:
+        yield part
+
+
 def _vocabulary(spark: SparkSession, path: str, pattern: str | None):
     import public_tokenizers
 

@@ -54,6 +54,18 @@ def test_codec_sheds_words_met_once(monkeypatch, encoder):
         assert sizes.tolist() == [len(encoder.encode_ordinary(t)) for t in texts]
 
 
+def test_long_words_in_blocks(encoder):
+    with open(PATH, "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "xyz", "éè漢字かな", "=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    words = ["".join(rng.choice(x) for _ in range(rng.randint(60, 500))) for x in alphabets for _ in range(25)]
+    words += [" " * n for n in (65, 96, 97, 127, 129)] + ["ab" * 400, "a" * 3000, "🙂" * 70, "".join(rng.choice(alphabets[0]) for _ in range(100_000))]
+    ids, sizes = codec.contract_long([w.encode() for w in words])
+    for w, got in zip(words, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert w.encode() in codec.ranks or got.tolist() == encoder._encode_single_piece(w)
+
+
 def plain_base(text):
     found = []
     for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
