@@ -5,9 +5,15 @@ first shingle that both have is among the first n - ceil(t * n) + 1 of the large
 n - ceil(2 * t / (1 + t) * n) + 1 of the lesser, n being the set's own size. So sets are joined on
 these prefixes, pairs whose sizes or places rule the similarity out are dropped, and the whole
 sets of the rest are compared. Any order gives the same pairs; shingles that many texts have come last,
-so that few texts meet under one.
+so that few texts meet under one. Shingles that only one set has there meet nobody and go first.
 
-Sets that are crowded under one shingle aren't paired out. They are compared with one of them, the
+Each set also has a sketch: whether it has an odd number of shingles in each of 1,024 cells. Two
+sketches differ in no more bits than the sets differ in shingles, so pairs whose sketches are too far
+apart for the similarity are dropped without reading the sets; no pair that is alike is.
+
+Sets that are crowded under one shingle are first compared with one of them, the pivot. Those that this
+leaves in different components are paired where sketches, sizes and places allow it, if the crowd is
+of CROWDS sets at most. Larger crowds aren't paired out. They are compared with a better chosen
 pivot, and what is alike is linked to it; such sets need no links among each other. One minus the
 similarity is a metric, so whatever lies nearer to the pivot than all sets that aren't alike do, by more
 than 1 - t, can't be linked to any of those and is done with. Of the others, two sets either have a
@@ -18,7 +24,7 @@ the links found so far have put in one component are left out: they need no link
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +36,10 @@ from palimpsest.llm.graph import components
 
 #: Texts looked at for common shingles, the texts among them that make one common, and how many come to the driver at most.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
-#: Lesser sets under one shingle from which the sets there count as a crowd.
-CROWD = 32
+#: Lesser sets under one shingle from which the sets there count as a crowd, and those up to which a crowd is paired.
+CROWD, CROWDS = 32, 1_024
+#: Bits of a sketch.
+CELLS = 1_024
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -52,6 +60,22 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array(hashes, dtype="<u8")
 
 
+def simhash_of(h: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes, as a signed number: a bit is set if it is in over half of them; zero if there are none."""
+    if not len(h):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Whether a set of hashes has an odd number in each cell, as CELLS bits in signed numbers."""
+    cells = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
@@ -76,7 +100,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """docs (id, h, text) as (id, h, fp, n, head): the hash and size of each text's set, and the start of it that is joined on."""
+    """docs (id, h, text) as (id, h, fp, n, sim, odd, head): the hash, size, SimHash and sketch of each text's set, and the start of it that is joined on."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,20 +108,28 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
         last = common.value
         for batch in sliced(batches):
-            prints, sizes, heads = [], [], []
+            prints, sizes, heads, sims, odd = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = _set(t, words)
                 prints.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
+                sims.append(simhash_of(s))
+                odd.append(sketch_of(s).view("<u8"))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
                 heads.append(s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
-            made = [pa.array(np.array(prints, dtype="<u8").view("<i8")), pa.array(sizes, pa.int32()), _lists(heads)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *made], ["id", "h", "fp", "n", "head"])
+            made = [pa.array(np.array(prints, dtype="<u8").view("<i8")), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), _lists(odd), _lists(heads)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *made], ["id", "h", "fp", "n", "sim", "odd", "head"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h bigint, fp bigint, n int, head array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, h bigint, fp bigint, n int, sim bigint, odd array<bigint>, head array<bigint>")
+
+
+def _within(similarity: float) -> Column:
+    """Whether the sketches of x and y, with sizes, leave room for the similarity: alike sets differ in so many shingles at most."""
+    bits = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(CELLS // 64))
+    return F.expr(bits) <= (1 - similarity) / (1 + similarity) * F.expr("x.n + y.n") + 1e-9
 
 
 def _with_similarity(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -124,20 +156,24 @@ def _sets(texts: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> D
     return materialize(whole, "near-sets")
 
 
-def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar(texts: DataFrame, sets: DataFrame, prints: DataFrame, first: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of the fp of sets, as written by prefixes() from texts (id, h, text), that are alike.
 
-    Every two sets that are alike are in one component of these links. Equal sets have one fp and
-    are no pair. A crowd under one shingle costs a comparison of each set with the pivot; sets of it that
-    are still apart and have rare shingles in common which the pivot hasn't are compared in pairs.
+    prints has each fp once, with n and odd. first are pairs (u, v) to compare besides those found here; links
+    among them save comparisons in crowds. Every two sets that are alike are in one component of the links.
+    Equal sets have one fp and are no pair. A crowd under one shingle costs a comparison of each set with the
+    pivot and of sketches in pairs, or, if it is larger than CROWDS, of sets that have rare shingles in common
+    which the pivot hasn't.
     """
-    once = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("head").alias("head")), "near-heads")
-    heads = once.select("fp", "n", F.posexplode("head").alias("at", "k"))
     share = similarity / (1 + similarity)
+    several = sets.select("fp", F.explode("head").alias("k")).groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    several = materialize(several.select("k"), "near-several")
+    heads = sets.select("fp", "n", F.posexplode("head").alias("at", "k")).join(several, "k").distinct()
     # Whether the place lies in the prefix that a set has as the lesser one of two.
-    heads = heads.withColumn("lesser", F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9))
+    heads = materialize(heads.withColumn("lesser", F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)), "near-heads")
     # With few lesser ones under a shingle, pairs are so many times the sets there at most.
-    hot = materialize(heads.where("lesser").groupBy("k").count().where(F.col("count") > CROWD).select("k"), "near-crowds")
+    hot = heads.groupBy("k").agg(F.count_if("lesser").alias("crowd")).where(F.col("crowd") > CROWD)
+    hot = materialize(hot.select("k", (F.col("crowd") > CROWDS).alias("large")), "near-crowds")
 
     def paired(rows: DataFrame, more: Column | None = None) -> DataFrame:
         x, y = rows.alias("x"), rows.alias("y")
@@ -147,27 +183,48 @@ def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) ->
         near &= F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) >= share * F.expr("x.n + y.n") - 1e-9
         return x.join(y, near if more is None else near & more).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """pairs (u, v) whose sketches leave room for the similarity."""
+        x = pairs.join(prints.select(F.col("fp").alias("u"), F.struct("n", "odd").alias("x")), "u")
+        return x.join(prints.select(F.col("fp").alias("v"), F.struct("n", "odd").alias("y")), "v").where(_within(similarity)).select("u", "v")
+
+    def alike(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         return _with_similarity(pairs, whole).where(F.col("alike") >= similarity - 1e-9).select("u", "v")
 
-    if hot.isEmpty():
-        pairs = materialize(paired(heads), "near-candidates")
-        whole = _sets(texts, sets, pairs.select(F.explode(F.array("u", "v")).alias("fp")), words)
-        return alike(pairs)
-    pairs = materialize(paired(heads.join(hot, "k", "left_anti")), "near-candidates")
-    crowded = materialize(heads.join(hot, "k", "left_semi"), "near-crowded")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(crowded.select("fp"))
-    whole = _sets(texts, sets, wanted, words)
+    def compared(pairs: DataFrame) -> DataFrame:
+        return alike(pairs, _sets(texts, sets, pairs.select(F.explode(F.array("u", "v")).alias("fp")), words))
+
+    crowded = materialize(heads.join(hot, "k"), "near-crowded")
     # What lies under many of these shingles is like many sets, and a good pivot at first.
     central = crowded.groupBy("fp").agg(F.count("*").alias("central"))
-    pivots = crowded.join(central, "fp").groupBy("k").agg(F.max_by("fp", F.struct("central", F.xxhash64("fp"))).alias("v"))
+    pivots = materialize(crowded.join(central, "fp").groupBy("k").agg(F.max_by("fp", F.struct("central", F.xxhash64("fp"))).alias("v")), "near-pivots")
+    stars = crowded.select("k", F.col("fp").alias("u")).join(pivots, "k").where("u <> v").select("u", "v")
+    pairs = union_all([first.select("u", "v"), paired(heads.join(hot, "k", "left_anti")), stars]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    known = materialize(compared(materialize(sketched(pairs.distinct()), "near-candidates")), "near-links")
+    if hot.isEmpty():
+        return known
+    large = materialize(crowded.where("large").drop("large"), "near-large")
+    if not large.isEmpty():
+        known = materialize(union_all([known, _beyond_pivots(texts, sets, large, pivots, known, paired, alike, words, similarity)]), "near-links")
+    # Only sets that these links leave in different components are compared any further.
+    roots = components(known).withColumnRenamed("node", "fp")
+    rest = crowded.where("NOT large").join(roots, "fp", "left").withColumn("part", F.coalesce("root", "fp")).join(prints.select("fp", "odd"), "fp")
+    rest = materialize(rest.select("k", "fp", "n", "at", "lesser", "part", "odd"), "near-members")
+    beside = paired(rest, (F.col("x.part") != F.col("y.part")) & _within(similarity))
+    return union_all([known, compared(materialize(beside, "near-beside"))])
+
+
+def _beyond_pivots(texts: DataFrame, sets: DataFrame, crowded: DataFrame, pivots: DataFrame, known: DataFrame, paired: Callable, alike: Callable, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) of crowds too large to be paired; with known ones they link what is alike under their shingles."""
+    share = similarity / (1 + similarity)
+    whole = _sets(texts, sets, crowded.select("fp").unionByName(pivots.select(F.col("v").alias("fp"))), words)
 
     def beyond(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) with each shingle e that u has beyond v's."""
         return pairs.join(whole.select(F.col("fp").alias("u"), "s"), "u").join(whole.select(F.col("fp").alias("v"), F.col("s").alias("has")), "v").select("u", "v", F.explode(F.array_except("s", "has")).alias("e"))
 
     # A better one has most of what many sets of the crowd have beyond the first, and least of what few have.
-    members = crowded.select("k", F.col("fp").alias("u")).join(materialize(pivots, "near-pivots"), "k")
+    members = crowded.select("k", F.col("fp").alias("u")).join(pivots, "k")
     added = materialize(beyond(members.select("u", "v").distinct()), "near-added")
     many = added.groupBy("v", "e").agg((F.count("*") > CROWD).alias("many"))
     odd = added.join(many, ["v", "e"]).groupBy("u", "v").agg(F.count_if("many").alias("common"), F.count_if(~F.col("many")).alias("rare"))
@@ -177,7 +234,7 @@ def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) ->
     compared = materialize(_with_similarity(members.select("u", "v").distinct(), whole), "near-compared")
     inner = F.col("alike") >= similarity - 1e-9
     members = members.join(compared, ["u", "v"])
-    known = materialize(alike(pairs).unionByName(compared.where(inner & (F.col("u") != F.col("v"))).select("u", "v")), "near-links")
+    known = materialize(known.unionByName(compared.where(inner & (F.col("u") != F.col("v"))).select("u", "v")), "near-links")
     # The greatest similarity to the pivot of those that aren't alike to it; null if there are none.
     outer = members.groupBy("k").agg(F.max(F.when(~inner, F.col("alike"))).alias("next"))
     stays = (F.col("u") != F.col("v")) & (~inner | (F.col("alike") - (1 - similarity) <= F.col("next") + 1e-9))
@@ -202,4 +259,4 @@ def similar(texts: DataFrame, sets: DataFrame, words: int, similarity: float) ->
     fits &= F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
     beside = x.join(y, fits).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).unionByName(paired(rest, apart & room))
     beside = materialize(beside.distinct(), "near-beside")
-    return union_all([known, alike(beside)])
+    return union_all([known, alike(beside, whole)])

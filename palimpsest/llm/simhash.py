@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard
-from palimpsest.llm.common import docs_of, materialize, row_of, sliced, with_row
+from palimpsest.llm.common import cleaned, docs_of, materialize, row_of, sliced, with_row
 from palimpsest.llm.graph import components
 
 SEGMENTS, BITS = 16, 4
@@ -27,13 +27,7 @@ BUCKET = 64
 
 def fingerprint_of(text: str | None, words: int) -> int:
     """The fingerprint of one text, as a signed number; zero if it has no word."""
-    h = jaccard.shingle_hashes(text, words)
-    if not len(h):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    return jaccard.simhash_of(jaccard.shingle_hashes(text, words))
 
 
 def fingerprints(df: DataFrame, *, text: str = "text", words: int = 4, out: str = "fp") -> DataFrame:
@@ -150,13 +144,19 @@ def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words:
     copies of each other.
     """
     docs = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    sets = materialize(jaccard.prefixes(docs, words, similarity), "near-prefixes")
-    pairs = jaccard.similar(docs, sets, words, similarity)
-    known = linked(sets.select("id", "h", "fp"), id_="id", pairs=pairs).where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
-    rows = df.select(row_of(df.columns).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).alias("d")
-    keep = rows.join(first.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h")), "left_semi")
-    return keep.dropDuplicates(["id", "h"]).select("row.*")
+    with cleaned(df.sparkSession):
+        sets = materialize(jaccard.prefixes(docs, words, similarity), "near-prefixes")
+        prints = materialize(sets.select("fp", "n", "odd").dropDuplicates(["fp"]), "near-prints")
+        first = prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+        pairs = jaccard.similar(docs, sets, prints, first, words, similarity)
+        known = linked(sets.select("id", "h", "fp"), id_="id", pairs=pairs).where(F.col("id").eqNullSafe(F.col("component_id")))
+        least = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
+        least = materialize(least, "near-kept")
+    # Dealt by hashes of id and text, so that the rows are shuffled once; null ids have one hash too.
+    i = F.xxhash64("id").alias("i")
+    rows = df.select(row_of(df.columns).alias("row"), F.col(id_).alias("id"), F.xxhash64(text).alias("h")).select("row", "id", "h", i).alias("d")
+    same = (F.col("d.i") == F.col("k.i")) & (F.col("d.h") == F.col("k.h")) & F.col("d.id").eqNullSafe(F.col("k.id"))
+    return rows.join(least.select("id", "h", i).alias("k"), same, "left_semi").dropDuplicates(["i", "h", "id"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,57 @@ def test_near_dedup_reaches_the_similarity(spark, monkeypatch, crowd):
         assert got == plain_near(texts, similarity)
 
 
+def near_copies(rng, n):
+    """Texts of which many are near copies of each other, some of them long, with one passage in a third of all."""
+    some = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    passage, texts = some(30), []
+    for k in range(n):
+        base = some(rng.choice([8, 60, 200, 1500])) + (passage if k % 3 == 0 else [])
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 35))):
+                copy[at] = f"edit{rng.randrange(3)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize(("crowd", "crowds"), [(2, 4), (0, 0)])
+def test_near_dedup_of_crowds_too_large_to_pair(spark, monkeypatch, crowd, crowds):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "CROWDS", crowds)
+    texts = near_copies(random.Random(31), 20)
+    got = sorted(r.doc_id for r in simhash.near_dedup(docs(spark, texts)).collect())
+    assert got == plain_near(texts, 0.8) and len(got) < len(texts)
+
+
+def test_whole_sets_are_read_where_sketches_allow_only(spark, monkeypatch):
+    """Texts that have a passage in common, and are else unlike, meet under its shingles; none of their whole sets is read."""
+    rng = random.Random(33)
+    some = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    passage, read = some(20), []
+    texts = [" ".join(some(150) + passage) for _ in range(60)]
+    monkeypatch.setattr(jaccard, "_sets", lambda texts, sets, wanted, words, f=jaccard._sets: read.append(wanted.distinct().count()) or f(texts, sets, wanted, words))
+    for crowd in (32, 1000):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        assert simhash.near_dedup(docs(spark, texts)).count() == 60
+    assert sum(read) == 0
+    a, b = set(range(0, 4000, 2)), set(range(0, 4000, 2)) - set(range(0, 300, 2)) | {1, 3, 5}
+    odd = [jaccard.sketch_of(np.array(sorted(xxhash.xxh64_intdigest(str(x), 1) for x in s), dtype="<u8")).view("<u8") for s in (a, b)]
+    assert 0 < sum(int(x).bit_count() for x in odd[0] ^ odd[1]) <= len(a ^ b)
+
+
+def test_shuffle_files_of_near_dedup_go_early(spark):
+    """The setting that removes them holds within the stage only."""
+    from palimpsest.llm import common
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    with pytest.raises(ValueError), common.cleaned(spark):
+        assert spark.conf.get(name) == "true"
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def plain_lines(rows, words):
     """rows in order; a line goes if it lies in a run of so many words that equals an earlier one that it doesn't overlap."""
     first, out = {}, []
