@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard
-from palimpsest.llm.common import cleaned, docs_of, materialize, row_of, sliced, with_row
+from palimpsest.llm.common import cleaned, docs_of, materialize, row_of, sliced, union_all, with_row
 from palimpsest.llm.graph import components
 
 SEGMENTS, BITS = 16, 4
@@ -135,20 +135,29 @@ def linked(prints: DataFrame, *, id_: str = "doc_id", fp: str = "fp", distance:
     return prints.join(told, fp)
 
 
-def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def candidates(prints: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v) of the fp of prints whose SimHash sim is equal, as stars, or differs in at most so many bits, by one fp of each sim."""
+    one = materialize(prints.groupBy("sim").agg(F.min("fp").alias("one")), "near-simhashes")
+    same = prints.join(one, "sim").where("fp <> one").select(F.col("fp").alias("u"), F.col("one").alias("v"))
+    found = links(one.select(F.col("sim").alias("fp")), distance).distinct()
+    found = found.join(one.select(F.col("sim").alias("u"), F.col("one").alias("a")), "u").join(one.select(F.col("sim").alias("v"), F.col("one").alias("b")), "v")
+    return materialize(union_all([same, found.select(F.col("a").alias("u"), F.col("b").alias("v"))]), "near-by-simhash")
+
+
+def near_dedup(df: DataFrame, *, id_: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """The rows of df of which no earlier row is a near copy: of each component the one of least id.
 
-    Rows are linked if their sets of shingles have a Jaccard similarity of so much or more; see
-    jaccard.py, as SimHash can't reach that far. Of several rows with that id the one whose text's hash
+    Rows are linked if their sets of shingles have a Jaccard similarity of so much or more. Pairs whose SimHash
+    differs in at most distance bits are compared first; as SimHash can't reach that far, prefixes give
+    the pairs that it lacks, see jaccard.py. Of several rows with that id the one whose text's hash
     is least stays; a component of null ids keeps the row of least hash. Texts without words are
     copies of each other.
     """
     docs = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     with cleaned(df.sparkSession):
         sets = materialize(jaccard.prefixes(docs, words, similarity), "near-prefixes")
-        prints = materialize(sets.select("fp", "n", "odd").dropDuplicates(["fp"]), "near-prints")
-        first = prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-        pairs = jaccard.similar(docs, sets, prints, first, words, similarity)
+        prints = materialize(sets.select("fp", "n", "sim", "odd").dropDuplicates(["fp"]), "near-prints")
+        pairs = jaccard.similar(docs, sets, prints, candidates(prints, distance), words, similarity)
         known = linked(sets.select("id", "h", "fp"), id_="id", pairs=pairs).where(F.col("id").eqNullSafe(F.col("component_id")))
         least = known.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
         least = materialize(least, "near-kept")

@@ -146,6 +146,34 @@ def test_near_dedup_of_crowds_too_large_to_pair(spark, monkeypatch, crowd, crowd
     assert got == plain_near(texts, 0.8) and len(got) < len(texts)
 
 
+def test_near_dedup_compares_what_simhash_finds(spark, monkeypatch):
+    """Pairs whose SimHash is near are compared, whatever else is; without the join on prefixes they are linked all the same."""
+    rng = random.Random(32)
+    texts = near_copies(rng, 10)
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:-1], "edited"]), " ".join([*base[:200], "changed", *base[201:]])]
+    sets = [{xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(t)} for t in texts]
+    prints = [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in s) * 2 > len(s)) for s in sets]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] != sets[j] and (prints[i] ^ prints[j]).bit_count() <= 4}
+    rows = docs(spark, texts).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h"))
+    made = jaccard.materialize(jaccard.prefixes(rows, 5, 0.8), "sets")
+    first = {}
+    for r in made.orderBy("id").collect():
+        first.setdefault(r.fp, r.id)
+        assert r.sim % 2**64 == prints[r.id] and r.n == len(sets[r.id])
+    found = simhash.candidates(made.select("fp", "n", "sim", "odd").dropDuplicates(["fp"]), 4).collect()
+    found = {tuple(sorted((first[r.u], first[r.v]))) for r in found}
+    want = {(i, j) for i, j in want if i in first.values() and j in first.values()}
+    parts = lambda pairs: {r.node: r.root for r in graph.components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()}
+    assert found <= want and parts(found) == parts(want) and len(found) > 5  # of equal ones one stands for all
+    none = jaccard.prefixes
+    monkeypatch.setattr(jaccard, "prefixes", lambda *a: none(*a).withColumn("head", F.expr("slice(head, 1, 0)")))
+    got = {r.doc_id for r in simhash.near_dedup(docs(spark, texts)).collect()}
+    alike = [(i, j) for i, j in found if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert alike and all(j not in got for _, j in alike)
+
+
 def test_whole_sets_are_read_where_sketches_allow_only(spark, monkeypatch):
     """Texts that have a passage in common, and are else unlike, meet under its shingles; none of their whole sets is read."""
     rng = random.Random(33)
