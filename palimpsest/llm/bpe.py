@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from palimpsest.llm.common import docs_of, row_of, with_row
 REMEMBERED = 300_000
 #: Code points that are tokenised together, and words that one recursive query contracts.
 CHUNK, AT_ONCE = 400_000, 8_000
+#: Code points of a text up to which the library cuts it into words.
+WHOLE = 100_000
 #: Rows that one recursive query may make, by the squares of its words' lengths. Bounds memory.
 STEPS = 1_000_000
 #: Words of more bytes are contracted in blocks of so many, which start every half block.
@@ -348,7 +350,21 @@ class Codec:
 
 
 class LibraryCodec(Codec):
-    """As Codec, but the tokenizer's library contracts new words; for operators that only need the ids."""
+    """As Codec, but the tokenizer's library encodes whole texts; for operators that only need the ids.
+
+    No words are remembered. Texts of over WHOLE characters are cut into words here, as the library's regular
+    expression gives up on very long runs of spaces, and the library contracts these.
+    """
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        import public_tokenizers
+
+        if self.pattern != public_tokenizers.PATTERN:
+            return super().encode(texts)
+        own = super().encode
+        ids = [self.library.encode_ordinary(t) if len(t) <= WHOLE else own([t])[0] for t in texts]
+        sizes = np.array(list(map(len, ids)), dtype=np.int64)
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = list(map(self.library._encode_single_piece, words))

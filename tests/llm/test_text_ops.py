@@ -54,6 +54,19 @@ def test_codec_sheds_words_met_once(monkeypatch, encoder):
         assert sizes.tolist() == [len(encoder.encode_ordinary(t)) for t in texts]
 
 
+def test_library_codec_remembers_no_words(encoder):
+    with open(PATH, "rb") as f:
+        codec = bpe.LibraryCodec(f.read(), public_tokenizers.PATTERN)
+    texts = [t or "" for t in odd_texts()]
+    ids, sizes = codec.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [encoder.encode_ordinary(t) for t in texts]
+    assert not codec.index
+    for text in (" " * 150_000 + "x", "a b " * 30_000):  # too long for the library's expression to be safe
+        assert codec.encode(["b", text])[0].tolist() == encoder.encode_ordinary("b") + encoder.encode_ordinary(text)
+    assert codec.encode([" " * 1_200_000])[1].tolist()[0] > 0
+    assert [len(x) for x in codec.encode([])] == [0, 0]
+
+
 def test_long_words_in_blocks(encoder):
     with open(PATH, "rb") as f:
         codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
