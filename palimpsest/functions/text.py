@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,9 +36,36 @@ def ascii_only(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$")
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class of ascending code points."""
+    spans: list[list[int]] = []
+    for p in points:
+        if spans and p == spans[-1][1] + 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+@cache
+def _unsteady() -> str:
+    """What composition may change, alone or beside others; a text without any of these is in composed form. Most texts fail the look at ASCII first."""
+    every = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    parts = [unicodedata.decomposition(chr(c)).split() for c in every]
+    seconds = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    return r"(?=[^\x00-\x7F])" + _ranges([c for c in every if c in seconds or unicodedata.combining(chr(c)) or _compatible(chr(c)) != chr(c)])
+
+
+@cache
+def _ascii_alike() -> str:
+    """What has ASCII letters or digits in its composed form, but is none."""
+    return r"(?=[^\x00-\x7F])" + _ranges([c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and re.search("[A-Za-z0-9]", _compatible(chr(c)))])
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; ASCII texts, which it leaves as they are, don't go to Python."""
-    return F.when(ascii_only(text), text).otherwise(_arrow(_compatible, F.when(~ascii_only(text), text)))
+    """Compatibility composition; texts that it leaves as they are for want of anything to compose don't go to Python."""
+    loose = text.rlike(_unsteady())
+    return F.when(loose, _arrow(_compatible, F.when(loose, text))).otherwise(text)
 
 
 def casefolded(text: Column) -> Column:
@@ -86,20 +114,26 @@ def source_sample(text: Column) -> Column:
     return (F.length(text) >= 120) & ((low.contains("<!--") & (hits >= 2)) | (hits >= 3))
 
 
+_INNER = "[A-Za-z][0134578][A-Za-z]"
+#: A boundary of words of any script, and one of ASCII words (in SQL: DuckDB's).
+_EDGE, _ASCII_EDGE = r"(?U:\b)", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def numbered(text: Column) -> Column:
-    """The composed form of a text with a number in it, null for others; what inner_digit looks at."""
-    return nfkc(F.when(text.rlike(r"\p{N}"), text))
+    """The composed form of a text with a number in it that inner_digit could find, null for others; what it looks at."""
+    return nfkc(F.when(text.rlike(r"\p{N}") & (text.rlike(_INNER) | text.rlike(_ascii_alike())), text))
 
 
-def inner_digit(text: Column, whole: Column | None = None) -> Column:
+def inner_digit(text: Column, whole: Column | None = None, *, ascii_words: bool = False) -> Column:
     """Whether a digit that looks like a letter stands between ASCII letters, outside of addresses and long machine tokens.
 
     whole may be a column that holds numbered(text): an expression with a function in Python is made once for each place it is used in.
+    ascii_words: whether machine tokens also end where a letter of another script follows, as DuckDB's SQL has it.
     """
-    inner = "[A-Za-z][0134578][A-Za-z]"
+    inner, edge = _INNER, _ASCII_EDGE if ascii_words else _EDGE
     whole = numbered(text) if whole is None else whole
     bare = F.regexp_replace(whole, r"(?i)(?:https?://|www\.)(?U:\S)+", " ")
-    bare = F.regexp_replace(bare, r"(?U)\b[A-Za-z0-9_-]{16,}\b", " ")
+    bare = F.regexp_replace(bare, edge + "[A-Za-z0-9_-]{16,}" + edge, " ")
     # Most texts fail the first, cheap test; the others are only made where it holds.
     return F.when(whole.rlike(inner), bare.rlike(inner) & ~source_sample(text)).otherwise(False)
 

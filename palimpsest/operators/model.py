@@ -6,6 +6,12 @@ the distinct texts' grams with the model and sums, so no model is held by Python
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +22,90 @@ from palimpsest.sources.observations import NEGATIVE, NEGATIVE_2, POSITIVE, POSI
 ALPHA, LENGTH_FOR_TRUST, SUPPORT_FOR_TRUST = 0.5, 14.0, 0.35
 
 
-def grams(texts: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """(keep, gram, n): how often each n-gram of two to five characters stands in a text."""
-    said = texts.select(*keep, text.plain(F.col(column)).alias("_said"))
-    return said.select(*keep, F.explode(F.expr(text.ngrams("_said"))).alias("gram")).groupBy(*keep, "gram").agg(F.count("*").alias("n"))
+#: Characters that are cut into grams at a time; a bound of memory, not of results.
+PIECE = 2_000_000
+LOW, HIGH, DIGITS = 2, 5, 12
+
+
+def _strings(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    size = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
+    ends = np.concatenate([[0], np.cumsum(size.sum(axis=1, dtype=np.int64))]).astype(np.int32)
+    data = np.ascontiguousarray(codes, dtype="<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def _gram_counts(texts: list[str], labels: list[int]) -> Iterator[pa.RecordBatch]:
+    """(gram, c0, c1) of some texts, a gram once or a few times; labels are 0, 1 or 2, which is neither.
+
+    Every place is one number: the label and the codes of the next five characters. In their order the grams of
+    each length stand together, so they are sorted once.
+    """
+    if not texts:
+        return
+    pad = HIGH - 1
+    codes = np.frombuffer("".join(f"^{t}$" + "\0" * pad for t in texts).encode("utf-32-le"), dtype="<u4")
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 2
+    met = np.zeros(sys.maxunicode + 1, dtype=bool)
+    met[codes] = True
+    letters = np.flatnonzero(met)
+    if len(letters) >= 1 << DIGITS:
+        if len(texts) > 1:
+            for part in (slice(0, len(texts) // 2), slice(len(texts) // 2, None)):
+                yield from _gram_counts(texts[part], labels[part])
+            return
+        said = f"^{texts[0]}$"  # one text with very many different characters
+        many = Counter(said[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(said) - n + 1))
+        count = pa.array(many.values(), pa.int64())
+        none = pa.array(np.zeros(len(many), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(many.keys(), pa.string()), *[count if labels[0] == k else none for k in (0, 1)]], ["gram", "c0", "c1"])
+        return
+    coded = np.cumsum(met, dtype=np.uint64)[codes]
+    ends = np.cumsum(sizes + pad)
+    inside = np.ones(len(coded), dtype=bool)
+    for i in range(1, pad + 1):
+        inside[ends - i] = False
+    coded[~inside] = 0
+    coded = np.concatenate([coded, np.zeros(pad, dtype=np.uint64)])
+    keys = np.repeat(np.array(labels, dtype=np.uint64) << np.uint64(DIGITS * HIGH), sizes + pad)
+    for i in range(HIGH):
+        keys |= coded[i : i + len(keys)] << np.uint64(DIGITS * (HIGH - 1 - i))
+    keys = np.sort(keys[inside])
+    mask = np.uint64((1 << DIGITS) - 1)
+    for n in range(LOW, HIGH + 1):
+        cut = keys >> np.uint64(DIGITS * (HIGH - n))
+        starts = np.concatenate([[0], np.flatnonzero(cut[1:] != cut[:-1]) + 1])
+        count, first = np.diff(np.append(starts, len(cut))), cut[starts]
+        whole = (first & mask) != 0
+        count, first = count[whole], first[whole]
+        told = np.stack([letters[((first >> np.uint64(DIGITS * (n - 1 - i))) & mask).astype(np.int64) - 1] for i in range(n)], axis=1)
+        label = first >> np.uint64(DIGITS * n)
+        yield pa.RecordBatch.from_arrays([_strings(told), *[pa.array(np.where(label == k, count, 0)) for k in (0, 1)]], ["gram", "c0", "c1"])
 
 
 def fit(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model of examples (text, label 0 or 1): (gram, c0, c1), and one row of totals (docs0, docs1, total0, total1, vocabulary)."""
-    counted = grams(examples, "text", ["label"])
-    table = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in (0, 1)])
+    """The model of examples (text, label 0 or 1): (gram, c0, c1) of the n-grams of two to five characters, and one row of totals (docs0, docs1, total0, total1, vocabulary).
+
+    Texts are cut and counted by pieces in Python, in time in proportion to their characters; counts are summed up by Spark.
+    """
+    said = examples.select(text.plain(F.col("text")).alias("said"), F.when(F.col("label").isin(0, 1), F.col("label").cast("int")).otherwise(2).alias("label")).where("said <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        labels: list[int] = []
+        size = 0
+        for batch in batches:
+            for t, k in zip(batch.column("said"), batch.column("label").to_pylist(), strict=True):
+                texts.append(t.as_py())
+                labels.append(k)
+                size += len(texts[-1]) + HIGH + 1
+                if size >= PIECE:
+                    yield from _gram_counts(texts, labels)
+                    texts, labels, size = [], [], 0
+        yield from _gram_counts(texts, labels)
+
+    counted = said.mapInArrow(run, "gram string, c0 bigint, c1 bigint")
+    table = counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     sums = table.agg(F.sum("c0").alias("total0"), F.sum("c1").alias("total1"), F.count("*").alias("vocabulary"))
     docs = examples.agg(*[F.count_if(F.col("label") == k).alias(f"docs{k}") for k in (0, 1)])
     return table, docs.join(F.broadcast(sums))

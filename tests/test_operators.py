@@ -261,3 +261,31 @@ def test_validation_of_a_file(spark, tmp_path):
     for i, (data, want) in enumerate(cases):
         (tmp_path / f"{i}.json").write_text(json.dumps(data))
         assert export.validate(spark, str(tmp_path / f"{i}.json")) == want
+
+
+def test_grams_are_counted_as_by_hand(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("ab ", 300), ("aé가😀", 300), ("x", 1), ("\0ab", 40), ([chr(0x4E00 + i) for i in range(9000)], 30_000))]
+    rows = [(t, i % 2) for i, t in enumerate(texts)] + [("ab", None), (None, 1), ("", 0)]
+    want = {0: Counter(), 1: Counter(), None: Counter()}
+    for t, label in rows:
+        said = " ".join((t or "").split(" ")).strip(" ") and f"^{' '.join(t.split())}$"
+        want[label].update(said[i : i + n] for n in range(2, 6) for i in range(len(said) - n + 1))
+    for piece in (50, 2_000_000):
+        monkeypatch.setattr(model, "PIECE", piece)
+        table, totals = model.fit(spark.createDataFrame(rows, "text string, label int"))
+        got = {r.gram: (r.c0, r.c1) for r in table.collect()}
+        assert got == {g: (want[0][g], want[1][g]) for k in want for g in want[k]}
+        assert totals.first().total1 == sum(want[1].values())
+
+
+def test_grams_of_a_long_text_take_time_in_proportion(spark):
+    import time
+
+    text = "가나다라 마바사아 " * 40_000  # cut by its places from the start, this took a time with the square of its length
+    began = time.time()
+    table, _ = model.fit(spark.createDataFrame([(text, 1)], "text string, label int"))
+    assert table.agg(F.sum("c1")).first()[0] == 4 * (len(text.strip()) + 2) - 10 and time.time() - began < 60
