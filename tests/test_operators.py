@@ -289,3 +289,60 @@ def test_grams_of_a_long_text_take_time_in_proportion(spark):
     began = time.time()
     table, _ = model.fit(spark.createDataFrame([(text, 1)], "text string, label int"))
     assert table.agg(F.sum("c1")).first()[0] == 4 * (len(text.strip()) + 2) - 10 and time.time() - began < 60
+
+
+def test_neighbours_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    steps = ["a", "b", "c"]
+    rows = []
+    for i in range(400):
+        path = " > ".join([rng.choice(steps) for _ in range(rng.randint(1, 3))] + [f"p{rng.randint(0, 6)}"])
+        rows.append(dict(url=f"https://a.test/{rng.randint(0, 3)}", selector=path, text=f"t{rng.randint(0, 25)}", effective_opacity=0.0 if rng.random() < 0.2 else 1.0, pass_ord=rng.randint(1, 3), elem_ord=i))
+    seen = obs(spark, *rows)
+    up = lambda s: s.rpartition(" > ")[0]
+    got = context.with_context(merge.merge_passes(detect.detect(seen)), seen).collect()
+    assert len(got) > 40
+    for m in got:
+        rings = []
+        for prefix, most in ((up(m.location), 8), (up(up(m.location)), 6)):
+            first = {}
+            for r in sorted(rows, key=lambda r: (r["pass_ord"], r["elem_ord"], r["text"])):
+                if prefix and r["url"] == m.url and r["selector"] != m.location and r["selector"].startswith(prefix + " > ") and r["text"] not in sum(rings, []):
+                    first.setdefault(r["text"])
+            rings.append(list(first)[:most])
+            if len(rings[0]) >= 4:
+                break
+        assert m.context == " ".join([m.evidence_text, m.evidence_text, "t", *sum(rings, [])])
+
+
+def test_scores_in_the_row_are_those_of_the_join(spark):
+    models = {x: model.fit(model.seeds(spark, k)) for x, k in (("a", 1), ("b", 2))}
+    said = ["무료 카지노 가입 코드 지급", "win a bonus  TODAY", "the museum is closed on mondays", "zzqq", "", "x", "カジノ 😀 bonus", "a\0b casino", None]
+    rows = spark.createDataFrame([(t,) for t in said], "text string")
+    want = {r.text: r for r in model.score_models(rows, models).drop("key").collect()}
+    from palimpsest.functions import text
+
+    score = model.row_scorer(models)
+    for r in rows.select("text", score(text.plain(F.col("text"))).alias("s")).collect():
+        for c in ("probability_a", "support_a", "probability_b", "support_b"):
+            assert abs(r.s[c] - want[r.text or ""][c]) < 1e-9
+
+
+def test_large_models_are_joined_instead(spark, monkeypatch):
+    seen = obs(spark, dict(text="free betting credit", effective_opacity=0.0), dict(selector="main > b", text="ㄱㅏㅇㅣㅂ 코드", elem_ord=2), dict(selector="main > i", text="casino", elem_ord=3))
+    models = tuple(model.fit(model.seeds(spark, k)) for k in (1, 2))
+    merged = merge.merge_passes(detect.detect(seen))
+    told = lambda: sorted((r.location, r.verification_status, round(r.verification_score, 9), r.visible_equivalent_count) for r in decide.verify(merged, seen, models).collect())
+    want = told()
+    monkeypatch.setattr(model, "ROWWISE", 10)
+    assert len(want) == 2 and told() == want
+
+
+def test_a_text_is_shuffled_once_whatever_passes_show_it(spark):
+    seen = obs(spark, *[dict(text=f"ㄱㅏㅇㅣㅂ {i % 9}", elem_ord=i, pass_ord=p, selector=f"p#{i}") for i in range(90) for p in range(5)])
+    plan = detect.detect(seen)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+    profile = evaluate.pass_profile(merge.merge_passes(detect.detect(seen)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "normalized_text" not in profile.split("Aggregate")[1] and "composed" not in profile
